@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tracewell.llm import mixing, sharding, token_output
+from tracewell.llm import mixing, sharding, simhash, token_output
 
 QUERIES = {
     "op5_mixing": mixing.op5_mixing,
+    "op6_simhash": simhash.op6_simhash,
     "op7_token_output": token_output.op7_token_output,
     "op10_sharding": sharding.op10_sharding,
     "pipeline": corpus_pipeline.run,
