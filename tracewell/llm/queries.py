@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tracewell.llm import mixing, sharding, simhash, token_output
+from tracewell.llm import mixing, quality_rules, sharding, simhash, token_output
 
 QUERIES = {
+    "op3_quality_rules": quality_rules.op3_quality_rules,
     "op5_mixing": mixing.op5_mixing,
     "op6_simhash": simhash.op6_simhash,
     "op7_token_output": token_output.op7_token_output,
