@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tracewell.llm import mixing, quality_rules, sharding, simhash, token_output
+from tracewell.llm import decontamination, mixing, pii, quality_classifier, quality_rules, sharding, simhash, token_output
 
 QUERIES = {
+    "op2_quality_classifier": quality_classifier.op2_quality_classifier,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op5_mixing": mixing.op5_mixing,
     "op6_simhash": simhash.op6_simhash,
     "op7_token_output": token_output.op7_token_output,
+    "op8_decontamination": decontamination.op8_decontamination,
+    "op9_pii": pii.op9_pii,
     "op10_sharding": sharding.op10_sharding,
     "pipeline": corpus_pipeline.run,
 }
