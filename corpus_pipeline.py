@@ -3,10 +3,18 @@
 from __future__ import annotations
 
 from tracewell.llm.common import store, table
+from tracewell.llm.decontamination import decontamination_stage
 from tracewell.llm.mixing import mix_stage
+from tracewell.llm.quality_rules import rules_stage
+from tracewell.llm.simhash import simhash_stage
+from tracewell.llm.token_output import token_stage
 
 STAGES = [
+    ("quality rules", rules_stage),
+    ("SimHash near-dedup", simhash_stage),
+    ("benchmark decontamination", decontamination_stage),
     ("mixing sources to target weights", mix_stage),
+    ("token-ID / binary output", token_stage),
 ]
 
 #: Perplexities, fingerprints, edit distances and token ids have no DuckDB form; tests/llm checks the stages by brute force.

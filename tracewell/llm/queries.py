@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tracewell.llm import decontamination, mixing, pii, quality_classifier, quality_rules, sharding, simhash, token_output
+from tracewell.llm import decontamination, line_dedup, mixing, pii, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, token_output
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_quality_classifier": quality_classifier.op2_quality_classifier,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_mixing": mixing.op5_mixing,
     "op6_simhash": simhash.op6_simhash,
     "op7_token_output": token_output.op7_token_output,
