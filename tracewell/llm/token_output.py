@@ -9,13 +9,16 @@ every key of a bucket to a slot of its own, and the slot's stored fingerprint te
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,9 +27,40 @@ from tracewell.llm.common import DOCUMENT_COLUMNS, shared_dir, slices, store, ta
 
 END_ID = 2
 BLOCK_BYTES, BLOCK_DOCS, BUCKET_KEYS = 4 << 20, 50_000, 20_000
-#: Words of these characters are cut into pieces just as the tokenizer cuts them; any other word goes to it whole.
-_PLAIN = re.compile(r"[ -&(-;=-~À-ÖØ-öø-ÿ]*")
-_PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: What a word must not hold to be cut here just as the tokenizer cuts it; a word that does goes to the tokenizer whole.
+_ODD = re.compile(r"<\||[^!-~À-ÖØ-öø-ÿ\n]")
+#: The tokenizer's own split for the remaining characters, lower-cased; a line end stands between words.
+_PIECE = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ\n]+")
+
+
+class Memory:
+    """Values by key in two generations: what was not asked for since the last turn is forgotten at the next."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def lacking(self, keys: set) -> list:
+        """The keys that are not known. All others are in `young` afterwards."""
+        unknown = keys - self.young.keys()
+        if len(self.young) + len(unknown) > self.most:
+            self.old, self.young = self.young, {}
+            unknown = keys
+        again = unknown & self.old.keys()
+        self.young.update((k, self.old[k]) for k in again)
+        return list(unknown - again)
+
+
+#: The steps before the model that the shortcut below stands for; with any others texts are encoded whole.
+_KNOWN_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None, "truncation": None, "padding": None,
+}
+#: Byte-level alphabet: printable characters of Latin-1 stand for themselves, the other bytes for 256, 257, ... in order.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LEVEL = {b: 256 + n for n, b in enumerate(x for x in range(256) if x not in _SHOWN)}
 
 
 class WordEncoder:
@@ -36,47 +70,62 @@ class WordEncoder:
     id comes from the tokenizers library; a bounded memory of words and of pieces spares it the repeats.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.tokenizer = Tokenizer.from_file(path)
+        steps = json.loads(self.tokenizer.to_str())
+        self.by_word = all(steps.get(k) == v for k, v in _KNOWN_STEPS.items()) and not any(a["lstrip"] or a["rstrip"] for a in steps["added_tokens"])
+        code = "H" if self.tokenizer.get_vocab_size() < 0xFF00 else "I"  # the highest byte of an id is then never 255
+        self.dtype, self.code = np.dtype("<u2" if code == "H" else "<u4"), code
+        self.gap = b"\xff" * self.dtype.itemsize
+        self.words, self.pieces = Memory(most), Memory(most)
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[bytes]) -> None:
-        if len(self.words) + len(new) > self.most:
-            self.words.clear()
-        if len(self.pieces) > self.most:
-            self.pieces.clear()
-        cut = {}
-        for w in new:
-            text = w.decode("utf-8", "replace")
-            cut[w] = _PIECE.findall(text.lower()) if _PLAIN.fullmatch(text) else [text]
-        fresh = list({p for ps in cut.values() for p in ps if p not in self.pieces})
-        for p, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.pieces[p] = np.array(e.ids, self.dtype).tobytes()
-        get = self.pieces.__getitem__
-        for w, ps in cut.items():
-            self.words[w] = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
-
-    def encode(self, text: bytes) -> bytes:
-        words = text.split()
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            out = []
-            for i in range(0, len(words), 100_000):
-                part = words[i : i + 100_000]
-                known = self.words
-                new = [w for w in dict.fromkeys(part) if w not in known]
-                if new:
-                    if len(known) + len(new) > self.most:  # what is known of this text is forgotten too
-                        new = list(dict.fromkeys(part))
-                    self._learn(new)
-                out.append(b"".join(map(self.words.__getitem__, part)))
-            return b"".join(out)
+        text = b"\n".join(new).decode("utf-8", "replace")
+        if _ODD.search(text):
+            words = text.split("\n")
+            odd = [i for i, w in enumerate(words) if _ODD.search(w)]
+            self.words.young.update(zip([new[i] for i in odd], self._whole([words[i] for i in odd]), strict=True))
+            skip = set(odd)
+            new = [w for i, w in enumerate(new) if i not in skip]
+            if not new:
+                return
+            text = "\n".join(w for i, w in enumerate(words) if i not in skip)
+        pieces = _PIECE.findall(text.lower())
+        tokenize, code = self.tokenizer.model.tokenize, self.code
+        for p in self.pieces.lacking(set(pieces) - {"\n"}):
+            shown = p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_LEVEL)
+            self.pieces.young[p] = array(code, [t.id for t in tokenize(shown)]).tobytes()
+        self.pieces.young["\n"] = self.gap
+        self.words.young.update(zip(new, b"".join(map(self.pieces.young.__getitem__, pieces)).split(self.gap), strict=True))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text of a binary array without nulls, as bytes."""
+        if not self.by_word:
+            return self._whole([t.decode("utf-8", "replace") for t in texts.to_pylist()])
+        texts = pa.concat_arrays([texts])  # without an offset
+        split = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.string(), len(texts), [None, *texts.buffers()[1:]]))
+        coded = split.values.dictionary_encode()
+        d = coded.dictionary
+        words = pa.Array.from_buffers(pa.binary(), len(d), [None, *d.buffers()[1:]], offset=d.offset).to_pylist()
+        new = self.words.lacking(set(words))
+        for i in range(0, len(new), 50_000):
+            self._learn([w for w in new[i : i + 50_000] if w])
+        self.words.young[b""] = b""  # beside white space at the ends of a text
+        known = list(map(self.words.young.__getitem__, words))
+        ids, size = np.frombuffer(b"".join(known), self.dtype), np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
+        at, own = np.asarray(coded.indices), np.cumsum(size) - size
+        n = size[at]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        flat = ids[np.repeat(own[at] - upto[:-1], n) + np.arange(upto[-1])] if upto[-1] else ids
+        ends = upto[np.asarray(split.offsets)].tolist()
+        raw, w = memoryview(flat.tobytes()), self.dtype.itemsize
+        return [bytes(raw[w * a : w * b]) for a, b in zip(ends, ends[1:], strict=False)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -101,9 +150,9 @@ def _blocks(tokenizer_path: str, end_id: int):
         def made():
             return pa.RecordBatch.from_pylist([{"part": part, "block": block, "doc0": doc0, "tok0": tok0, "width": width, "keys": keys, "ends": ends, "payload": b"".join(chunks)}], _BLOCK)
 
-        for batch in slices(batches):
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = enc.encode(text) + end
+        for batch in slices(batches, most=8 << 20):
+            for key, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1)), strict=True):
+                ids += end
                 chunks.append(ids)
                 held += len(ids)
                 keys.append(key)
