@@ -15,7 +15,7 @@ def _grouped(digits: Column) -> Column:
 
 def _trimmed(x: Column) -> Column:
     """At most two decimals, without trailing zeros."""
-    return F.regexp_replace(F.regexp_replace(F.format_string("%.2f", x), "0+$", ""), r"\.$", "")
+    return F.regexp_replace(F.regexp_replace(F.format_string("%.2f", x.cast("double")), "0+$", ""), r"\.$", "")
 
 
 def format_inr(amount: Column) -> Column:
@@ -41,13 +41,18 @@ def plain_money(amount: Column) -> Column:
     return F.concat(F.lit("Rs "), F.format_number(amount, 0))
 
 
+def _tenths(minutes: Column, unit: int) -> Column:
+    """Minutes in a unit of so many, to one decimal, half up, in whole numbers."""
+    t = F.floor((minutes * 10 + unit // 2) / unit).cast("long")
+    return F.format_string("%d.%d", F.floor(t / 10).cast("long"), t % 10)
+
+
 def duration(minutes: Column) -> Column:
-    """Minutes below 120, hours below 48 hours, else days."""
+    """Whole minutes below 120, hours below 48 hours, else days."""
     return (
-        F.when(minutes < 120, F.format_string("%.0f minutes", minutes.cast("double")))
-        .when(minutes < 48 * 60, F.format_string("%.1f hours", minutes / 60.0))
-        .otherwise(F.format_string("%.1f days", minutes / 1440.0))
-    )
+        F.when(minutes < 120, F.format_string("%d minutes", minutes.cast("long")))
+        .when(minutes < 48 * 60, F.concat(_tenths(minutes, 60), F.lit(" hours"))).otherwise(F.concat(_tenths(minutes, 1440), F.lit(" days")))
+    )
 
 
 def percent(share: Column) -> Column:

@@ -62,14 +62,14 @@ def matched(pairs: DataFrame, cfg, similarity: bool = True) -> DataFrame:
     """a, b, tier (BLOCKED, GREEN, YELLOW, NONE), rules, blockers.
 
     Order of precedence: different PANs block; any green rule; a conflict of phone and address blocks; any yellow rule.
-    Without similarity the rules that need it never fire.
+    Without similarity only equal names count as similar.
     """
     account, pan, phone, address = [_agree(f) for f in FIELDS]
     b1, b2 = _conflict("pan"), _conflict("phone") & _conflict("address")
-    same, part = F.col("x.stripped") == F.col("y.stripped"), F.lit(False)
+    same = F.col("x.stripped") == F.col("y.stripped")
     initials, turned = names.initials_match(F.col("x.tokens"), F.col("y.tokens")), names.reversed_match(F.col("x.tokens"), F.col("y.tokens"))
     named = F.size("x.tokens") > 0
-    alike, near = named & same, part
+    alike = near = named & same
     p = pairs
     if similarity:
         asked = (phone | address | account) & ~b1
