@@ -152,6 +152,13 @@ def test_mixing_targets_and_budgets(spark, small):
     assert sorted(map(str, rows)) == sorted(map(str, mixing.op5_mixing(spark, SMALL).collect()))
 
 
+def test_mixing_against_sql(spark, duck):
+    cursor = duck.execute(mixing.ORACLE_SQL)
+    columns = [d[0] for d in cursor.description]
+    rows = mixing.op5_mixing(spark, SMALL).collect()
+    assert sorted(repr(tuple(r[c] for c in columns)) for r in rows) == sorted(map(repr, cursor.fetchall()))
+
+
 def test_simhash_by_all_pairs(spark, small):
     fps = {i: own_fingerprint(t) for i, t in small.items()}
     want = components(fps, [(a, b) for a, b in combinations(fps, 2) if (fps[a] ^ fps[b]).bit_count() <= 4])

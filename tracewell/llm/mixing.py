@@ -110,3 +110,36 @@ def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mix(docs, cut_last=False)
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
     return mixed.withColumn("m_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*DOCUMENT_COLUMNS)
+
+
+#: The whole mix in DuckDB: keys, targets, and the words up to each source's budget by one running sum.
+ORACLE_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    CASE WHEN length(text) > 0 THEN length(translate(text, '#*$%&|<>!', ''))::DOUBLE / length(text) ELSE 1.0 END AS clean,
+    (('0x' || substr(md5(concat_ws(':', '11', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, '')))), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  FROM documents),
+keyed AS (SELECT doc_id, source, size, -ln(u) / greatest(0.1::DOUBLE, clean * clean * clean * clean) AS k FROM docs),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM keyed GROUP BY source),
+weighed AS (
+  SELECT source, source_size, 2.0::DOUBLE * source_size AS cap, sum(source_size) OVER ()::DOUBLE AS all_size,
+    [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w
+  FROM sources),
+opened AS (
+  SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+    sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open
+  FROM weighed),
+levels AS (SELECT *, max((1.5::DOUBLE * all_size - capped) / open) OVER () AS level FROM opened),
+goals AS (
+  SELECT source, source_size, least(cap, level * w) AS target, CASE WHEN source_size > 0 THEN floor(least(cap, level * w) / source_size)::BIGINT ELSE 0 END AS epochs
+  FROM levels),
+keys AS (SELECT source, k, sum(size) AS tied FROM keyed GROUP BY source, k),
+placed AS (SELECT source, k, tied, sum(tied) OVER (PARTITION BY source ORDER BY k) - tied AS before FROM keys),
+ends AS (
+  SELECT g.source, p.k, p.tied, round(g.target - g.epochs * g.source_size)::BIGINT - p.before AS rest
+  FROM goals g JOIN placed p ON g.source IS NOT DISTINCT FROM p.source
+  WHERE p.before < round(g.target - g.epochs * g.source_size) AND round(g.target - g.epochs * g.source_size) <= p.before + p.tied)
+SELECT d.doc_id, d.source, d.size, g.source_size, g.target,
+  (g.epochs * d.size + CASE WHEN d.k < e.k THEN d.size WHEN d.k = e.k THEN floor(e.rest * d.size / e.tied) ELSE 0 END)::BIGINT AS taken
+FROM keyed d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN ends e ON d.source IS NOT DISTINCT FROM e.source
+"""
