@@ -22,7 +22,8 @@ SYMBOLS = "#*$%&|<>!"
 def quality_weight(text: Column) -> Column:
     """A weight from 0.1 to 1: the share of characters that are not symbols, to the fourth power. Null and empty texts weigh 1."""
     kept = F.length(F.translate(text, SYMBOLS, "")) / F.greatest(F.length(text), F.lit(1))
-    return F.greatest(F.lit(0.1), F.coalesce(F.when(F.length(text) > 0, kept * kept * kept * kept), F.lit(1.0)))
+    power = F.element_at(F.transform(F.array(kept), lambda x: x * x * x * x), 1)  # the lambda binds kept, so the text is read once
+    return F.greatest(F.lit(0.1), F.coalesce(F.when(F.length(text) > 0, power), F.lit(1.0)))
 
 
 def _keyed(docs: DataFrame, seed: int, weight: Column | None) -> DataFrame:
