@@ -131,6 +131,42 @@ def test_repeated_passages_are_found(spark):
     assert got == {i: [(30 + i, 85 + i)] for i in range(40)}
 
 
+def windows_by_brute_force(texts):
+    """doc id -> passages, from every window of 50 words."""
+    owners = defaultdict(set)
+    words = {i: (t or "").encode().split() for i, t in texts.items()}
+    for i, w in words.items():
+        for k in range(len(w) - 49):
+            owners[b" ".join(w[k : k + 50])].add(texts[i])
+    out = {}
+    for i, w in words.items():
+        spans = []
+        for k in range(len(w) - 49):
+            if len(owners[b" ".join(w[k : k + 50])]) > 1:
+                if spans and k <= spans[-1][1]:
+                    spans[-1][1] = k + 50
+                else:
+                    spans.append([k, k + 50])
+        if spans:
+            out[i] = [tuple(x) for x in spans]
+    return out
+
+
+@pytest.mark.parametrize("most", [suffix_dedup.MOST_ROWS, 3])
+def test_no_passage_is_lost_among_many_neighbours(spark, small, most):
+    core = [f"c{i}" for i in range(16)]
+    texts = {1: " ".join(x for k in range(9) for x in [*[f"l{k}y{j}" for j in range(34)], *core, f"r{k}"])}  # nine occurrences of its own
+    texts |= {10 + k: " ".join([*[f"l{k}y{j}" for j in range(34)], *core, *[f"s{k}x{j}" for j in range(9)]]) for k in range(9)}  # each shares what lies left
+    texts |= {40: "x " * 40 + " ".join(f"e{j}" for j in range(25)), 41: "x " * 30 + " ".join(f"e{j}" for j in range(25)), 42: "x " * 200, 43: "q " + "x " * 77}
+    want = windows_by_brute_force(texts)
+    assert {1, 10, 18, 40, 41, 42, 43} <= set(want)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: [(p.start, p.end) for p in r.passages] for r in suffix_dedup.repeated_passages(docs, most).collect()} == want
+    rows = suffix_dedup.repeated_passages(table(spark, SMALL, "documents"), most).where("n_copies = 1").collect()
+    copies = Counter(small.values())
+    assert {r.doc_id: [(p.start, p.end) for p in r.passages] for r in rows} == {i: p for i, p in windows_by_brute_force(small).items() if copies[small[i]] == 1}
+
+
 def test_mixing_targets_and_budgets(spark, small):
     rows = mixing.op5_mixing(spark, SMALL).collect()
     assert {r.doc_id: r["size"] for r in rows} == {i: len((t or "").encode().split()) for i, t in small.items()}

@@ -3,23 +3,23 @@
 Suffixes are kept only where a 16-word gram is the minimum of some 35 successive ones, so any passage of 50 words holds
 a kept suffix wherever it occurs. Grams of one text alone drop out. The other suffixes, each with the words around
 it, are sorted by content over the cluster; equal beginnings stand side by side whatever their number, since ties
-are broken by text and place. Each suffix is compared with its neighbours word by word, rightwards and then leftwards,
-and matches of 50 words or more are merged to passages.
+are broken by text and place. All windows of 50 words around the suffixes that share a gram are compared by their
+64-bit hashes, so no partner is left out. A group that more than one task or step holds has its different windows met in
+an aggregation, which no large group slows. Matching windows are merged to passages.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import WordHashes, flat_words, over_batches, slices, store, table, text_key, utf8, word_count
 
 LEAST, GRAM, SPAN = 50, 16, 35  # SPAN = LEAST - GRAM + 1
-#: Words that a kept suffix carries to its left and right, and the sorted neighbours that it is compared with.
-LEFT, RIGHT, NEIGHBOURS = LEAST - GRAM, LEAST, 4
+#: Words that a kept suffix carries to its left and right, and the sorted suffixes that are compared at a time.
+LEFT, RIGHT, MOST_ROWS = LEAST - GRAM, LEAST, 4096
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -31,7 +31,7 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def kept_suffixes(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(position, gram hash) of the kept suffixes among the word hashes of several texts.
 
-    Of equal minima the first counts; of a run of equal grams only every SPAN-th can be one.
+    Of equal minima the first counts; where all SPAN grams are equal, every SPAN-th of their run.
     """
     n = len(h)
     if n < LEAST:
@@ -43,13 +43,12 @@ def kept_suffixes(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     never = np.uint64(0xFFFFFFFFFFFFFFFF)
     rank = g.copy()
     rank[doc[: len(g)] != doc[GRAM - 1 :]] = never
-    same = np.flatnonzero(np.r_[False, g[1:] == g[:-1]])
-    if len(same):
-        first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-        since = same - first[np.searchsorted(first, same, "right") - 1]
-        rank[same[since % SPAN != 0]] = never
     if len(rank) < SPAN:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+    length = np.diff(np.r_[first, len(g)])
+    since = np.arange(len(g)) - np.repeat(first, length)
+    alike = np.repeat(length, length) - since >= SPAN  # only equal grams from here on
     low, size = rank, 1
     while size < SPAN:  # minimum of SPAN successive ranks, by overlapping halves
         step = min(size, SPAN - size)
@@ -60,7 +59,8 @@ def kept_suffixes(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     w = np.flatnonzero(inside & (ahead != never))
     for a in range(0, len(w), 1 << 16):
         part = w[a : a + (1 << 16)]
-        picked.append(part + np.argmax(rank[part[:, None] + np.arange(SPAN)] == ahead[part][:, None], axis=1))
+        step = np.argmax(rank[part[:, None] + np.arange(SPAN)] == ahead[part][:, None], axis=1)
+        picked.append(part + np.where(alike[part], -since[part] % SPAN, step))
     at = np.unique(np.concatenate(picked)) if picked else np.zeros(0, np.int64)
     return at, g[at]
 
@@ -81,80 +81,108 @@ def _contexts(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         words = text.split()
         for m in marks:
             p = m["pos"]
-            rows.append((m["h"], b" ".join(words[p : p + RIGHT]), tid, p, b" ".join(words[max(0, p - LEFT) : p])))
+            rows.append((m["h"], b" ".join([*words[p : p + RIGHT], b""]), tid, p, b" ".join(words[max(0, p - LEFT) : p])))
     if not rows:
         return None
     kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["h", "words", "tid", "pos", "before"])
 
 
-def _common(a: list[bytes], b: list[bytes]) -> int:
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n
-    return next(i for i in range(n) if a[i] != b[i])
-
-
-def _compared(rows: list[tuple], out: list[tuple]) -> None:
-    """Compare the last of some sorted neighbours with the others; matches go to out as (tid, start, end, other)."""
-    h, words, tid, pos, before = rows[-1]
-    for oh, owords, otid, opos, obefore in reversed(rows[:-1]):
-        if oh != h:
-            break
-        if otid == tid:
-            continue
-        right = _common(words, owords)
-        if right < GRAM:
-            continue
-        left = _common(before, obefore)
-        if left + right >= LEAST:
-            out.append((tid, pos - left, pos + right, otid))
-            out.append((otid, opos - left, opos + right, tid))
-
-
 _MATCH = [("tid", pa.binary()), ("start", pa.int32()), ("end", pa.int32()), ("other", pa.binary())]
-_EDGE = [("part", pa.int32()), ("nth", pa.int32()), ("h", pa.int64()), ("words", pa.binary()), ("before", pa.binary()), ("pos", pa.int32())]
+_FOUND = pa.schema([*_MATCH, ("h", pa.int64()), ("w", pa.int64())])
 
 
-def _unpacked(h, words, tid, pos, before):
-    return h, words.split(), tid, pos, before.split()[::-1]
+def window_hashes(h: np.ndarray) -> np.ndarray:
+    """A hash of every LEAST successive words."""
+    g, size = {1: h}, 1
+    while size < 32:
+        g[size * 2] = _mix(g[size][: len(h) - 2 * size + 1], g[size][size:])
+        size *= 2
+    n = max(0, len(h) - LEAST + 1)
+    return _mix(_mix(g[32][:n], g[16][32 : 32 + n]), g[2][48 : 48 + n])
 
 
-def _neighbours(batches):
-    """Matches of each sorted partition, and its first and last rows for the comparison across partitions (part is null in matches)."""
-    part, window, first, n = TaskContext.get().partitionId(), [], [], 0
-    schema = pa.schema(_MATCH + _EDGE)
+def _compared(rows: list[tuple], hashes: WordHashes, first_open: bool, last_open: bool):
+    """Compare every window of LEAST words around sorted suffixes with all others of its group.
 
-    def made(matches, edges):
-        rows = [(*m, None, None, None, None, None, None) for m in matches] + [(r[2], None, None, None, part, k, r[0], r[1], r[4], r[3]) for k, r in edges]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    Yields matches (tid, start, end, other). Where the first or the last group has rows elsewhere (it is open), a window's
+    partners there begin like the row at that edge, for equal beginnings are neighbours. Such windows are also yielded with
+    h and w: the least and greatest text that have it here as tid and other, and where only one text has it, a row for each
+    of its places (else start is -1).
+    """
+    gram = np.array([r[0] for r in rows], np.int64)
+    known = sorted({r[2] for r in rows})
+    number = {t: i for i, t in enumerate(known)}
+    texts, names = np.array([number[r[2]] for r in rows], np.int64), pa.array(known, pa.binary())
+    begin = np.array([max(0, r[3] - LEFT) for r in rows], np.int64)
+    _, h, starts = flat_words([r[4] + b" " + r[1] for r in rows], hashes)
+    if len(h) < LEAST:
+        return
+    w = window_hashes(h)
+    row = np.repeat(np.arange(len(rows)), np.diff(starts))
+    at = np.flatnonzero(row[: len(w)] == row[LEAST - 1 :])
+    w, row = w[at], row[at]
+    place = begin[row] + at - starts[row]
+    if not len(w):
+        return
+    order = np.lexsort((w, gram[row]))
+    so, sg = w[order], gram[row][order]
+    cut = np.flatnonzero(np.r_[True, (so[1:] != so[:-1]) | (sg[1:] != sg[:-1])])
+    of = texts[row][order]
+    low, high = np.minimum.reduceat(of, cut), np.maximum.reduceat(of, cut)
+    back = np.empty(len(order), np.int64)
+    back[order] = np.repeat(np.arange(len(cut)), np.diff(np.r_[cut, len(order)]))
+    a, b, own = low[back], high[back], texts[row]
+    hit = np.flatnonzero(a != b)
+    if len(hit):
+        edge = np.flatnonzero(np.r_[True, (row[hit][1:] != row[hit][:-1]) | (place[hit][1:] != place[hit][:-1] + 1)])
+        last = np.r_[edge[1:], len(hit)] - 1
+        other = np.minimum.reduceat(np.where(a == own, b, a)[hit], edge)
+        cols = [names.take(pa.array(own[hit][edge])), pa.array(place[hit][edge], pa.int32()), pa.array(place[hit][last] + LEAST, pa.int32()), names.take(pa.array(other))]
+        yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(edge), pa.int64()), pa.nulls(len(edge), pa.int64())], schema=_FOUND)
+    right = np.array([min(LEFT, r[3]) for r in rows], np.int64) + starts[:-1]
+    reach = np.zeros(len(rows), np.int64)
+    for edge in [0] * first_open + [len(rows) - 1] * last_open:
+        ours = h[right[edge] : starts[edge + 1]]
+        for i in np.flatnonzero(gram == gram[edge]).tolist():
+            theirs = h[right[i] : starts[i + 1]][: len(ours)]
+            differ = np.flatnonzero(theirs != ours[: len(theirs)])
+            reach[i] = max(reach[i], differ[0] if len(differ) else len(theirs))
+    out = at + LEAST - right[row] <= reach[row]
+    once = np.zeros(len(w), bool)
+    once[order[cut]] = True
+    out = np.flatnonzero(out & ((a == b) | once))
+    if len(out):
+        cols = [names.take(pa.array(a[out])), pa.array(np.where(a == b, place, -1)[out], pa.int32()), pa.nulls(len(out), pa.int32()), names.take(pa.array(b[out]))]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(gram[row][out]), pa.array(w[out].view(np.int64))], schema=_FOUND)
+
+
+def _sorted_windows(most: int):
+    def run(batches):
+        """Matches within the groups of a sorted partition, `most` rows at a time, and the windows of groups that may go on elsewhere."""
+        hashes, held, going = WordHashes(), [], True
+        for batch in slices(batches, "words", 1 << 20):
+            held += zip(*[c.to_pylist() for c in batch.columns], strict=True)
+            while len(held) > most:
+                n = most
+                while n and held[n - 1][0] == held[most][0]:
+                    n -= 1
+                split = n == 0  # the whole of it is one group
+                n = n or most
+                yield from _compared(held[:n], hashes, going, split)
+                held, going = held[n:], split
+        if held:
+            yield from _compared(held, hashes, going, True)
 
-    raw: list[tuple] = []
-    for b in slices(batches, "words", 1 << 20):
-        out: list[tuple] = []
-        for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
-            if n < NEIGHBOURS:
-                first.append((n, row))
-            raw = [*raw[-NEIGHBOURS + 1 :], (n, row)]
-            window = [*window[-NEIGHBOURS:], _unpacked(*row)]
-            n += 1
-            _compared(window, out)
-        if out:
-            yield made(out, [])
-    if n:
-        yield made([], [*first, *[e for e in raw if e[0] >= NEIGHBOURS]])
+    return run
 
 
-def _across(batches):
-    """Matches between the last rows of a partition and the first of the next ones."""
-    window, out = [], []
-    for b in batches:
-        for part, _, h, words, tid, pos, before in zip(*[c.to_pylist() for c in b.columns], strict=True):
-            window = [*window[-NEIGHBOURS:], (part, _unpacked(h, words, tid, pos, before))]
-            last = window[-1][0]
-            _compared([r for p, r in window[:-1] if p != last] + [window[-1][1]], out)
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), _MATCH, strict=True)], [n for n, _ in _MATCH])
+def _across(found: DataFrame) -> DataFrame:
+    """Matches of windows that several tasks or steps hold: tid, start, end, other."""
+    met = found.where("h is not null")
+    shared = met.groupBy(F.col("h").alias("s_h"), F.col("w").alias("s_w")).agg(F.min("tid").alias("low"), F.max("other").alias("high")).where("low <> high")
+    alone = met.where("start >= 0").select("h", "w", "tid", "start").join(shared, (F.col("h") == F.col("s_h")) & (F.col("w") == F.col("s_w")))
+    return alone.select("tid", "start", (F.col("start") + LEAST).alias("end"), F.when(F.col("low") == F.col("tid"), F.col("high")).otherwise(F.col("low")).alias("other"))
 
 
 def _merged(batches):
@@ -179,7 +207,7 @@ def _merged(batches):
         yield made([*held, (tid, start, end, other)])
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
+def repeated_passages(docs: DataFrame, most: int = MOST_ROWS) -> DataFrame:
     """doc_id, class_id, n_copies, n_words, repeated_words, passages (array of start, end in words), other_doc_id.
 
     One row for each row of docs with a passage of 50 words or more that another document has as well. Equal texts are
@@ -198,10 +226,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     found = texts.join(marks, F.col("tid") == F.col("m_tid")).select("tid", "text", "marks")
     around = store(over_batches(found, _contexts, "h long, words binary, tid binary, pos int, before binary"), "contexts")
     ordered = around.repartitionByRange("h", "words", "tid", "pos").sortWithinPartitions("h", "words", "tid", "pos")
-    compared = ordered.mapInArrow(_neighbours, "tid binary, start int, end int, other binary, part int, nth int, h long, words binary, before binary, pos int")
-    compared = store(compared, "neighbours")
-    edges = compared.where("part is not null").select("part", "nth", "h", "words", "tid", "pos", "before").coalesce(1).sortWithinPartitions("part", "nth")
-    matches = compared.where("part is null").select("tid", "start", "end", "other").union(edges.mapInArrow(_across, "tid binary, start int, end int, other binary"))
+    found = store(ordered.mapInArrow(_sorted_windows(most), "tid binary, start int, end int, other binary, h long, w long"), "matches")
+    matches = found.where("h is null").select("tid", "start", "end", "other").union(_across(found))
     spans = matches.groupBy("tid", "start", "end").agg(F.min("other").alias("other")).repartition("tid").sortWithinPartitions("tid", "start")
     spans = spans.mapInArrow(_merged, "tid binary, start int, end int, other binary")
     own = spans.groupBy(F.col("tid").alias("p_tid")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("passages"), F.min("other").alias("other"))
