@@ -121,6 +121,13 @@ def test_kneser_ney_by_brute_force(spark):
         assert got[2] is None and [got[i] for i in (0, 1, 3, 4)] == pytest.approx([want[i] for i in (0, 1, 3, 4)], rel=1e-5)
 
 
+def test_bands_tell_junk_from_clean_text(spark):
+    rows = quality_rules.quality_rules(table(spark, MIDDLE, "documents")).where("not base_failed").join(table(spark, MIDDLE, "labels").select("doc_id", "quality"), "doc_id", "left").collect()
+    assert len({round(r.high - r.low, 6) for r in rows}) == len({r.lang for r in rows})  # each language has its own width
+    good, bad = ([r.kept for r in rows if r.quality == q] for q in (1, 0))
+    assert sum(good) > 0.9 * len(good) and sum(bad) < 0.5 * len(bad)
+
+
 def test_repeated_passages_are_found(spark):
     common = [f"c{i}" for i in range(55)]
     texts = {i: " ".join([f"a{i}x{j}" for j in range(30 + i)] + common + [f"b{i}x{j}" for j in range(20)]) for i in range(40)}
