@@ -352,13 +352,10 @@ def pass_through_findings(spark, sf):
 
 @query
 def consortium_circles(spark, sf):
-    """Candidates over pseudonyms that the banks' own figures confirm. Bands say little about the small amounts of this data, so at most four hops are walked."""
-    from dataclasses import replace
-
+    """Candidates over pseudonyms that the banks' own figures confirm."""
     b, noded = _noded(spark, sf, "CONSORTIUM")
-    cfg = replace(CFG, circle_window=12 * 3600, circle_max_hops=4)
-    rows = store(consortium.bucketed_rows(noded, cfg), "consortium-rows")
-    return consortium.confirmed(store(consortium.candidates(rows, cfg), "candidates"), b.txn, cfg).select(joined("path"), long("hops"))
+    rows = store(consortium.bucketed_rows(noded, CFG), "consortium-rows")
+    return consortium.confirmed(store(consortium.candidates(rows, CFG), "candidates"), b.txn, CFG).select(joined("path"), long("hops"))
 
 
 @query
