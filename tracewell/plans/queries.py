@@ -363,7 +363,7 @@ def consortium_confirm(spark, sf):
     """Confirmation of every three-step path of transfers over shared accounts within six hours."""
     t = _bank(spark, sf).txn
     loose = temporal.links(t, CFG.speed_link, Decimal("0.50"), Decimal("1.50"))
-    c = temporal.chains(loose.where("ts < 1704585600"), CFG)
+    c = temporal.chains(loose, CFG)
     return consortium.confirmed(c.select("path"), t, CFG).select(joined("path"))
 
 
