@@ -73,16 +73,18 @@ def control_groups(txn: DataFrame, sizes: DataFrame, per_case: int, seed: int =
     are those among its people, as many as the case has.
     """
     near = store(txn.where("payer <> payee").select(F.col("payer").alias("p"), F.col("payee").alias("q")).union(txn.where("payer <> payee").select("payee", "payer")).distinct(), "neighbours")
-    everyone = near.select("p").distinct()
+    everyone = store(near.select("p").distinct(), "everyone")
     wanted = sizes.select(F.col("group").alias("case"), F.col("people").cast("int").alias("people"), F.col("transfers").cast("int").alias("transfers"), F.explode(F.sequence(F.lit(1), F.lit(per_case))).alias("k"))
     wanted = store(wanted.withColumn("group", F.concat_ws("#", F.col("case").cast("string"), F.col("k").cast("string"))), "controls")
-    slots = 1 << 10
-    lot = everyone.withColumn("slot", F.pmod(F.xxhash64("p", F.lit(seed)), F.lit(slots)))
-    lot = lot.groupBy("slot").agg(F.min_by("p", F.xxhash64("p", F.lit(seed + 1))).alias("p"))
-    starts = wanted.withColumn("slot", F.pmod(F.xxhash64("group", F.lit(seed)), F.lit(slots))).join(lot, "slot")
-    members = store(starts.select("group", "people", "transfers", "p"), "controls-0")
     from pyspark.sql import Window
 
+    # every person has a rank: the place within its slot after the people of all slots before
+    lot = everyone.withColumn("slot", F.pmod(F.xxhash64("p", F.lit(seed)), F.lit(1 << 10)))
+    lot = lot.withColumn("nth", F.row_number().over(Window.partitionBy("slot").orderBy(F.xxhash64("p", F.lit(seed + 1)), "p")))
+    before = F.sum("count").over(Window.orderBy("slot")) - F.col("count")  # at most 1,024 rows
+    lot = lot.join(F.broadcast(lot.groupBy("slot").count().select("slot", before.alias("before"))), "slot").select("p", (F.col("before") + F.col("nth") - 1).alias("rank"))
+    starts = wanted.withColumn("rank", F.pmod(F.xxhash64("group", F.lit(seed)), F.lit(max(1, everyone.count())))).join(lot, "rank")
+    members = store(starts.select("group", "people", "transfers", "p"), "controls-0")
     for i in range(rounds):
         more = members.join(near, "p").select("group", "people", "transfers", F.col("q").alias("p"), F.lit(1).alias("new")).union(members.select("group", "people", "transfers", "p", F.lit(0).alias("new")))
         more = more.groupBy("group", "people", "transfers", "p").agg(F.min("new").alias("new"))

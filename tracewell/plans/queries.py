@@ -498,7 +498,7 @@ def lens_control(spark, sf):
     """Rates over control groups as large as the cases."""
     b, people, groups = _lens(spark, sf)
     sizes = groups.join(b.txn, "txn_id").groupBy("group").agg(F.size(F.array_distinct(F.flatten(F.collect_set(F.array("payer", "payee"))))).alias("people"), F.count("*").alias("transfers"))
-    control = store(lens.control_groups(b.txn, sizes, 2), "control")
+    control = store(lens.control_groups(b.txn, sizes, CFG.control_groups), "control")
     m = lens.measured(control, b.txn, b.accounts, people, CFG)
     return lens.summary(lens.signals(m, lens.baseline(b.txn, b.accounts, people, CFG), CFG))
 
