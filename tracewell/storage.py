@@ -11,18 +11,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Only where the session names none (tests) one is made."""
+    """The folder named in spark.checkpoint.dir. Only a local session that names none (tests) gets one of its own; a cluster without one is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = f"file://{tempfile.mkdtemp(prefix='tracewell-')}"
         spark.conf.set("spark.checkpoint.dir", path)
         atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
     return path
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/tracewell/{spark.sparkContext.applicationId}"
+
+
 def store(df: DataFrame, label: str) -> DataFrame:
     """Write a DataFrame to the shared folder and read it back: lineage ends there, so a lost executor costs only the tasks that read it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tracewell/{label}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> bool:
+    """Delete what this application has stored. To be called once the results that read it are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
