@@ -116,8 +116,8 @@ def test_kneser_ney_by_brute_force(spark):
         return (same[g] - off(same[g]) if g in same else 0) / total + sum(map(off, same.values())) / total * p(g[1:])
 
     want = [-sum(math.log(p(x[i - 4 : i + 1])) for i in range(4, len(x))) / (len(x) - 4) if len(x) > 4 else None for x in padded]
-    for entries in (quality_rules.MOST_ENTRIES, 0):  # arrays sent out, and the join
-        got = {r.doc_id: r.log_ppl for r in quality_rules.measured(docs, ["doc_id"], entries).collect()}
+    for head in (quality_rules.MOST_HEAD, 12, 0):  # all grams in the arrays, some, none
+        got = {r.doc_id: r.log_ppl for r in quality_rules.measured(docs, ["doc_id"], head).collect()}
         assert got[2] is None and [got[i] for i in (0, 1, 3, 4)] == pytest.approx([want[i] for i in (0, 1, 3, 4)], rel=1e-5)
 
 
@@ -209,9 +209,36 @@ def test_simhash_by_all_pairs(spark, small):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {i: (f"{fps[i]:016x}", want[i]) for i in fps}
 
 
+def wide_fingerprint(text):
+    words = (text or "").encode().lower().split()
+    h = [int.from_bytes(xxhash.xxh3_128_digest(b" ".join(words[i : i + 5]), 42), "big") for i in range(max(1, len(words) - 4))] if words else []
+    return sum(1 << b for b in range(128) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK, 16])
+def test_wide_fingerprints_by_all_pairs(spark, small, block):
+    base = [small[i] for i in sorted(small) if len((small[i] or "").split()) > 60][:25]
+    texts = {i: t for i, t in enumerate(dict.fromkeys([*small.values(), *[" ".join(t.split()[:-k]) + " changed" for t in base for k in (1, 3, 6, 9, 14)]]))}
+    fps = {i: wide_fingerprint(t) for i, t in texts.items()}
+    want = components(fps, [(a, b) for a, b in combinations(fps, 2) if (fps[a] ^ fps[b]).bit_count() <= 20])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = simhash.fingerprints(docs, simhash.STAGE)
+    edges = [(r.u, r.v) for r in simhash.links(rows.select("f0", "f1").distinct(), simhash.STAGE, block).collect()]
+    node = {r.doc_id: r.node for r in rows.collect()}
+    root = components(set(node.values()), edges)
+    got = defaultdict(set)
+    for i, n in node.items():
+        got[root[n]].add(i)
+    groups = defaultdict(set)
+    for i, n in want.items():
+        groups[n].add(i)
+    assert sorted(map(min, got.values())) == sorted(groups) and {frozenset(g) for g in got.values()} == {frozenset(g) for g in groups.values()}
+    assert len(groups) < len(texts) - 20
+
+
 def test_hot_keys_are_dealt_out_without_loss(spark):
     values = [(i << 40) | 5 for i in range(0, 3000, 1)]
-    fps = spark.createDataFrame([(v,) for v in values], "fp long")
+    fps = spark.createDataFrame([(v,) for v in values], "f0 long")
     edges = [(r.u, r.v) for r in simhash.links(fps, block=64).collect()]
     assert set(components(values, edges).values()) == set(components(values, [(a, b) for a, b in combinations(values, 2) if (a ^ b).bit_count() <= 4]).values())
 

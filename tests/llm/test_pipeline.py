@@ -4,7 +4,7 @@ from itertools import combinations
 
 import corpus_pipeline
 from tests.conftest import SMALL
-from tests.llm.test_operators import components, own_fingerprint
+from tests.llm.test_operators import components, wide_fingerprint
 from tracewell.llm import decontamination, quality_rules
 from tracewell.llm.common import DOCUMENT_COLUMNS, store, table
 
@@ -18,8 +18,8 @@ def test_stages(spark):
     assert all(list(rows[0].asDict()) == DOCUMENT_COLUMNS for rows in kept[:4])
     verdict = quality_rules.op3_quality_rules(spark, SMALL).where("kept").collect()
     assert {r.doc_id for r in rules} == {r.doc_id for r in verdict} and len(rules) > 0.5 * table(spark, SMALL, "documents").count()
-    fps = {r.doc_id: own_fingerprint(r.text) for r in rules}
-    group = components(fps, [(a, b) for a, b in combinations(fps, 2) if (fps[a] ^ fps[b]).bit_count() <= 4])
+    fps = {r.doc_id: wide_fingerprint(r.text) for r in rules}
+    group = components(fps, [(a, b) for a, b in combinations(fps, 2) if (fps[a] ^ fps[b]).bit_count() <= 20])
     assert sorted(r.doc_id for r in near) == sorted(set(group.values()))
     hit = {r.doc_id for r in decontamination.matches(spark.createDataFrame(near), table(spark, SMALL, "benchmark")).collect()}
     assert {r.doc_id for r in clean} == {r.doc_id for r in near} - hit

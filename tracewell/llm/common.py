@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.storage import own_dir, shared_dir, store  # noqa: F401
+
 #: A word is a run of anything but the six ASCII white space characters; bytes.split() cuts at the same ones.
 WORD = r"[^\x20\x09-\x0D]+"
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -40,24 +38,6 @@ def text_key(text: Column) -> Column:
     return F.md5(utf8(text))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none (tests) one is made."""
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if conf is None:
-        conf = f"file://{tempfile.mkdtemp(prefix='tracewell-')}"
-        spark.conf.set("spark.checkpoint.dir", conf)
-        atexit.register(shutil.rmtree, conf.removeprefix("file://"), ignore_errors=True)
-    return conf
-
-
-def store(df: DataFrame, label: str) -> DataFrame:
-    """Write a DataFrame to the shared folder and read it back: lineage ends there, so a lost executor costs only the tasks that read it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tracewell/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the bytes of a column stay near a bound; a longer single row passes whole."""
     for batch in batches:

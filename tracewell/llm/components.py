@@ -1,7 +1,7 @@
 """Connected components of an edge table, without any node's neighbours meeting in one task.
 
-Edges are first thinned to a spanning forest inside each partition, then the alternating large-star and small-star
-steps run until nothing changes. Only a minimum travels per node, so a hub costs one partially aggregated group.
+Edges are first thinned to a spanning forest inside each partition, then the large-star and small-star steps of the core
+run until nothing changes.
 """
 
 from __future__ import annotations
@@ -9,9 +9,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tracewell.llm.common import store
+from tracewell.operators.components import components as settled
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,26 +54,7 @@ def _thin(most: int = 1 << 20):
     return run
 
 
-def _minimum(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("mu"), "m")
-
-
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(u, v) long edges in any direction -> (node, root): root is the smallest node reachable. Nodes that are their own root have no row; loops and repeated edges do no harm; no edges give no rows."""
-    e = store(edges.select("u", "v").where("u <> v").mapInArrow(_thin(), "u long, v long"), "edges")
-    seen = None
-    for _ in range(most_rounds):
-        both = e.select("u", "v").union(e.select(F.col("v"), F.col("u")))
-        low = _minimum(both).withColumn("m", F.least("mu", "m"))
-        large = both.join(low, both["u"] == low["mu"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = store(large.where("u <> v").distinct(), "large-star")
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = _minimum(down)
-        joined = down.join(low, down["u"] == low["mu"])
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select(F.col("mu").alias("u"), F.col("m").alias("v")))
-        e = store(small.where("u <> v").distinct(), "small-star")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = now
-    raise RuntimeError("components did not settle")
+    e = store(edges.select("u", "v").where("u <> v").mapInArrow(_thin(), "u long, v long"), "thinned")
+    return settled(e).where("node <> root")
