@@ -38,10 +38,11 @@ def text_key(text: Column) -> Column:
     return F.md5(utf8(text))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that the bytes of a column stay near a bound; a longer single row passes whole."""
+def slices(batches: Iterator[pa.RecordBatch], column: str | Callable[[pa.RecordBatch], pa.Array] = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that the bytes of a column (its name, or what picks it) stay near a bound; a longer single row passes whole."""
     for batch in batches:
-        lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0), dtype=np.int64)
+        values = column(batch) if callable(column) else batch.column(batch.schema.get_field_index(column))
+        lengths = np.asarray(pc.fill_null(pc.binary_length(values), 0), dtype=np.int64)
         ends, first, room = np.cumsum(lengths), 0, 0
         while first < batch.num_rows:
             room = (ends[first - 1] if first else 0) + most
@@ -50,7 +51,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             first = last
 
 
-def over_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text") -> DataFrame:
+def over_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str | Callable[[pa.RecordBatch], pa.Array] = "text") -> DataFrame:
     """Apply a function to bounded Arrow batches."""
 
     def run(batches):

@@ -2,7 +2,9 @@
 
 Texts are lower-cased and their white space runs become one space. A test item of m characters allows k = m * RATE edits
 and is split into k + 1 pieces: wherever the item occurs with at most k edits, one piece occurs unchanged. An
-Aho-Corasick automaton finds the pieces, and Myers' bit-parallel distance verifies the surroundings of each hit.
+Aho-Corasick automaton finds the pieces, and Myers' bit-parallel distance verifies the surroundings of each hit. An item
+too short for any edit counts where it stands between spaces. Items go out in blocks of bounded size; a block takes one
+pass over the documents and no shuffle.
 """
 
 from __future__ import annotations
@@ -18,10 +20,8 @@ from pyspark.sql import functions as F
 from tracewell.llm.common import DOCUMENT_COLUMNS, slices, table, utf8
 
 RATE = 0.05
-#: Shorter items (after normalisation) say nothing about leakage and are never matched.
-LEAST_CHARS = 25
-#: Test items go out in blocks of so many characters; each block meets all documents.
-BLOCK_CHARS = 1 << 20
+#: Test items go out in blocks of so many characters (an automaton takes some 50 bytes a character); each block meets all documents.
+BLOCK_CHARS = 4 << 20
 
 
 def normalised(text: bytes) -> str:
@@ -29,11 +29,11 @@ def normalised(text: bytes) -> str:
 
 
 def item_blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
-    """(item_id, normalised text) in blocks, in the order of item_id; null and short items are left out."""
+    """(item_id, normalised text) in blocks, in the order of item_id; null and blank items are left out."""
     block, size = [], 0
     for r in benchmark.select("item_id", utf8(F.col("text")).alias("text")).orderBy("item_id", "text").toLocalIterator():
         text = normalised(bytes(r.text))
-        if len(text) < LEAST_CHARS:
+        if not text:
             continue
         if block and size + len(text) > most:
             yield block
@@ -106,9 +106,13 @@ class Matcher:
         begins = defaultdict(set)
         for end, (size, at) in self.automaton.iter(text):
             for n, offset in at:
-                begins[n].add(end + 1 - size - offset)
+                if self.items[n][1] or self._apart(text, end + 1 - size, end + 1):
+                    begins[n].add(end + 1 - size - offset)
         for n, all_begins in begins.items():
             pattern, k, _ = self.items[n]
+            if not k:
+                yield n, 0, min(all_begins) + len(pattern)
+                continue
             best = None
             for a, b in self._merged(sorted(all_begins), k):
                 low = max(0, a - k)
@@ -120,6 +124,10 @@ class Matcher:
             if best:
                 yield n, *best
 
+    @staticmethod
+    def _apart(text: str, a: int, b: int) -> bool:
+        return (a == 0 or text[a - 1] == " ") and (b == len(text) or text[b] == " ")
+
     @staticmethod
     def _merged(begins: list[int], k: int) -> list[list[int]]:
         out = [[begins[0], begins[0]]]
@@ -131,22 +139,22 @@ class Matcher:
         return out
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, distance, end): one row for each document and test item that it holds within the item's edit budget.
 
     Null and empty texts hold none. Equal items are reported each, repeated rows each. Empty tables give no rows.
     """
-    texts = docs.select("doc_id", utf8(F.col("text")).alias("text"))
+    texts, share = docs.select("doc_id", utf8(F.col("text")).alias("text")), docs.sparkSession.sparkContext.broadcast
     out = None
-    for block in item_blocks(benchmark):
-        part = texts.mapInArrow(_matching(block), "doc_id long, item_id long, distance int, end long")
+    for block in item_blocks(benchmark, block_chars):
+        part = texts.mapInArrow(_matching(share(block)), "doc_id long, item_id long, distance int, end long")
         out = part if out is None else out.union(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, distance int, end long")
 
 
 def _matching(block):
     def run(batches):
-        m = Matcher(block)
+        m = Matcher(block.value)
         for b in slices(batches):
             rows = [(i, item, d, e) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for n, d, e in m.found(normalised(t)) for item in m.items[n][2]]
             if rows:
@@ -156,17 +164,18 @@ def _matching(block):
     return run
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no test item. One pass without a shuffle for each block of items."""
-    for block in item_blocks(benchmark):
-        docs = docs.withColumn("__text", utf8(F.col("text"))).mapInArrow(_clean(block), docs.schema)
+def decontaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no test item. Null and empty texts hold none; empty tables remove nothing."""
+    share = docs.sparkSession.sparkContext.broadcast
+    for block in item_blocks(benchmark, block_chars):
+        docs = docs.select(*[docs[c] for c in docs.columns], utf8(docs["text"])).mapInArrow(_clean(share(block)), docs.schema)
     return docs
 
 
 def _clean(block):
     def run(batches):
-        m = Matcher(block)
-        for b in slices(batches, "__text"):
+        m = Matcher(block.value)
+        for b in slices(batches, lambda x: x.column(x.num_columns - 1)):
             clean = [next(m.found(normalised(t)), None) is None for t in b.column(b.num_columns - 1).to_pylist()]
             if any(clean):
                 kept = b.filter(pa.array(clean))
@@ -176,10 +185,10 @@ def _clean(block):
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
-    """Every document that holds a benchmark item, with the item."""
+    """Every document that holds a benchmark item, with the item. Odd rows as in matches."""
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold no benchmark item stay."""
+    """Pipeline stage: documents that hold no benchmark item stay, null and empty texts and repeated rows among them; further columns of docs go."""
     return decontaminated(docs.select(*DOCUMENT_COLUMNS), table(spark, sf_dir, "benchmark"))

@@ -2,8 +2,9 @@
 
 Every document has the exponential key -ln(u) / weight, u drawn from its own content. Within a source the documents
 are taken in the order of their keys up to the source's budget of words; whole epochs come before that fraction.
-The order is never sorted as a whole: words summed over bands of keys find the band in which the budget ends, and only
-that band of each source is sorted. What remains is one threshold to a source, applied to the documents where they lie.
+The order is never sorted as a whole: words summed over bands of keys find the band in which the budget ends, that band is
+cut into finer ones, and only a last band of few documents is sorted. What remains is one threshold to a source, applied
+to the documents where they lie.
 """
 
 from __future__ import annotations
@@ -13,7 +14,10 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.common import DOCUMENT_COLUMNS, store, table, text_key, word_count
 
-BANDS = 4096
+#: A key is a number of 2 ** -SCALE steps; its first band is what is left after FIRST bits, each finer one takes FINER bits more.
+SCALE, FIRST, FINER = 40, 37, 12
+#: The documents of a source that are sorted in one task.
+MOST_SORTED = 100_000
 #: Thresholds are broadcast up to this many sources; with more, Spark joins them by shuffle.
 MOST_BROADCAST_SOURCES = 20_000
 SYMBOLS = "#*$%&|<>!"
@@ -26,12 +30,16 @@ def quality_weight(text: Column) -> Column:
     return F.greatest(F.lit(0.1), F.coalesce(F.when(F.length(text) > 0, power), F.lit(1.0)))
 
 
-def _keyed(docs: DataFrame, seed: int, weight: Column | None) -> DataFrame:
-    """Adds m_size, m_key and m_band."""
+def _keys(docs: DataFrame, seed: int, weight: Column | None) -> tuple[Column, Column]:
+    """(words, exponential key) of each document."""
     basis = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_key(F.col("text")))
     u = (F.conv(F.substring(F.md5(basis), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
     key = -F.ln(u) / (quality_weight(F.col("text")) if weight is None else weight)
-    return docs.withColumns({"m_size": word_count(F.col("text")), "m_key": key}).withColumn("m_band", F.floor((1 - F.exp(-F.col("m_key"))) * BANDS).cast("int"))
+    return word_count(F.col("text")), key
+
+
+def _band(shift: int) -> Column:
+    return F.shiftright(F.floor(F.col("m_key") * float(1 << SCALE)).cast("long"), shift)
 
 
 def targets(sizes: DataFrame, weights: list[int], share: float, cap: float) -> DataFrame:
@@ -49,20 +57,31 @@ def targets(sizes: DataFrame, weights: list[int], share: float, cap: float) -> D
     return s.select("source", "source_size", F.least(F.col("cap"), F.col("level") * F.col("w")).alias("target"))
 
 
-def thresholds(keyed: DataFrame, weights: list[int], share: float, cap: float) -> DataFrame:
-    """A row to a source: source, source_size, target, epochs, and the key at which its fraction ends (m_end, null: no fraction) with m_rest of m_tied words taken there."""
-    bands = store(keyed.groupBy("source", "m_band").agg(F.sum("m_size").alias("words")), "mix-bands")
+def thresholds(keyed: DataFrame, weights: list[int], share: float, cap: float, most_sorted: int = MOST_SORTED) -> DataFrame:
+    """Of stored source, m_size, m_key a row to a source: source, source_size, target, epochs, and the key at which its fraction ends (m_end, null: no fraction) with m_rest of m_tied words taken there."""
+    bands = store(keyed.groupBy("source", _band(FIRST).alias("m_band")).agg(F.sum("m_size").alias("words"), F.count("*").alias("docs")), "mix-bands")
     goal = targets(bands.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goal = goal.withColumn("epochs", epochs).withColumn("need", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
     goal = store(goal, "mix-targets")
     few = goal.count() <= MOST_BROADCAST_SOURCES
     small = F.broadcast if few else (lambda x: x)
-    upto = bands.withColumn("ahead", F.sum("words").over(Window.partitionBy("source").orderBy("m_band")) - F.col("words"))
+
+    def ending(parts: DataFrame) -> DataFrame:
+        """The band of each source in which its budget ends; `base` words lie before all of its bands here."""
+        run = F.sum("words").over(Window.partitionBy("source").orderBy("m_band")) - F.col("words")
+        parts = parts.withColumn("ahead", F.col("base") + run).where((F.col("ahead") < F.col("need")) & (F.col("need") <= F.col("ahead") + F.col("words")))
+        return store(parts.select(F.col("source").alias("g_source"), F.col("m_band").alias("g_band"), "ahead", "need", "docs"), "mix-ends")
+
     g = goal.select(F.col("source").alias("g_source"), "need")
-    ends = upto.join(small(g), F.col("source").eqNullSafe(F.col("g_source"))).where((F.col("ahead") < F.col("need")) & (F.col("need") <= F.col("ahead") + F.col("words")))
-    ends = store(ends.select("g_source", F.col("m_band").alias("g_band"), "ahead", "need"), "mix-ends")
-    in_band = keyed.join(small(ends), F.col("source").eqNullSafe(F.col("g_source")) & (F.col("m_band") == F.col("g_band")))
+    ends = ending(bands.join(small(g), F.col("source").eqNullSafe(F.col("g_source"))).withColumn("base", F.lit(0).cast("long")))
+    shift = FIRST
+    while shift and not ends.where(F.col("docs") > most_sorted).isEmpty():
+        inside = keyed.join(small(ends), F.col("source").eqNullSafe(F.col("g_source")) & (_band(shift) == F.col("g_band")))
+        shift = max(0, shift - FINER)
+        finer = inside.groupBy("source", _band(shift).alias("m_band")).agg(F.sum("m_size").alias("words"), F.count("*").alias("docs"), F.first("ahead").alias("base"), F.first("need").alias("need"))
+        ends = ending(finer)
+    in_band = keyed.join(small(ends), F.col("source").eqNullSafe(F.col("g_source")) & (_band(shift) == F.col("g_band")))
     tied = in_band.groupBy("g_source", "m_key").agg(F.sum("m_size").alias("m_tied"), F.first("ahead").alias("ahead"), F.first("need").alias("need"))
     run = F.sum("m_tied").over(Window.partitionBy("g_source").orderBy("m_key"))
     tied = tied.withColumn("before", F.col("ahead") + run - F.col("m_tied")).where((F.col("before") < F.col("need")) & (F.col("need") <= F.col("before") + F.col("m_tied")))
@@ -83,34 +102,41 @@ def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5, cap
     A document is taken once in each whole epoch and once more if its key comes before the end of its source's
     fraction. At the end itself cut_last takes only the words that are still due (tied rows share them), without it the
     document is taken if that comes nearer to the target. Null texts have size 0, a null source is a source of its own,
-    equal rows have equal keys and the same result, an empty table gives no rows. Columns of docs named like a
-    result column are replaced. Nothing but the threshold table moves; reruns agree.
+    equal rows have equal keys and the same result, an empty table gives no rows. Of further columns only those named
+    like a result column are replaced. Nothing but the threshold table moves; reruns agree.
     """
     names = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    slim = store(_keyed(docs, seed, weight).select("source", "m_size", "m_key", "m_band"), "mix-keys")
+    size, key = _keys(docs, seed, weight)
+    slim = store(docs.select("source", size.alias("m_size"), key.alias("m_key")), "mix-keys")
     ends = thresholds(slim, list(weights), share, cap)
-    return _apply(_keyed(docs.select(*names), seed, weight), names, ends, cut_last)
+    return _apply(docs.select(F.struct(*names).alias("row"), "source", size.alias("m_size"), key.alias("m_key")), ends, cut_last)
 
 
-def _apply(keyed: DataFrame, names: list[str], ends: DataFrame, cut_last: bool) -> DataFrame:
+def _apply(keyed: DataFrame, ends: DataFrame, cut_last: bool) -> DataFrame:
     if ends.count() <= MOST_BROADCAST_SOURCES:
         ends = F.broadcast(ends)
     joined = keyed.join(ends, keyed["source"].eqNullSafe(ends["t_source"]))
-    return joined.select(*[keyed[c] for c in names], F.col("m_size").alias("size"), "source_size", "target", _taken(cut_last).alias("taken"))
+    return joined.select("row.*", F.col("m_size").alias("size"), "source_size", "target", _taken(cut_last).alias("taken"))
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
-    """All documents with their part in a mix of 150 % of all words."""
-    keyed = store(_keyed(table(spark, sf_dir, "documents"), 11, None).select("doc_id", "source", "m_size", "m_key", "m_band"), "mix-keys")
+    """All documents with their part in a mix of 150 % of all words. Odd rows as in mix."""
+    docs = table(spark, sf_dir, "documents")
+    size, key = _keys(docs, 11, None)
+    keyed = store(docs.select(F.struct("doc_id", "source").alias("row"), "source", size.alias("m_size"), key.alias("m_key")), "mix-keys")
     ends = thresholds(keyed, [3, 1, 2], 1.5, 2.0)
-    return _apply(keyed, ["doc_id", "source"], ends, True)
+    return _apply(keyed, ends, True)
 
 
 def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every copy of a document that the mix takes whole, as rows of documents."""
+    """Pipeline stage: every copy of a document that the mix takes whole, as rows of documents.
+
+    Texts without a word cost nothing and stay once. Equal rows have one fate, a null source is one of its own, no rows give
+    none; further columns of docs go.
+    """
     mixed = mix(docs, cut_last=False)
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
-    return mixed.withColumn("m_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*DOCUMENT_COLUMNS)
+    return mixed.select(*DOCUMENT_COLUMNS, F.explode(F.array_repeat(F.lit(1), times))).select(*DOCUMENT_COLUMNS)
 
 
 #: The whole mix in DuckDB: keys, targets, and the words up to each source's budget by one running sum.

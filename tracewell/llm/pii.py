@@ -165,23 +165,26 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with the text column rewritten, n_replaced, and kinds (an array of struct(kind, n_of_it), in order of kind).
 
     Null texts stay null with nothing replaced; empty texts stay empty; repeated rows give equal results; an empty table
-    gives no rows. Columns named n_replaced or kinds are replaced.
+    gives no rows. Of further columns only those named n_replaced or kinds are replaced.
     """
-    t = F.col(text)
+    if not key:
+        raise ValueError("a pseudonym needs a secret key")
+    names = [c for c in docs.columns if c not in ("n_replaced", "kinds")]
+    t = F.col("row")[text]
     found = F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)))
-    docs = docs.withColumn("__found", found).withColumn("__new", F.when(F.size("__found") > 0, F.transform("__found", lambda s: pseudonym(s, key))))
+    docs = docs.select(F.struct(*names).alias("row")).withColumn("__found", found).withColumn("__new", F.when(F.size("__found") > 0, F.transform("__found", lambda s: pseudonym(s, key))))
     new = F.zip_with("__found", "__new", lambda old, n: F.coalesce(n["new"], old))
     rebuilt = F.array_join(F.flatten(F.zip_with(F.split(t, PATTERN, -1), new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     made = F.transform(F.filter("__new", lambda n: n["new"].isNotNull()), lambda n: n["kind"])
     counts = F.transform(F.array_sort(F.array_distinct("__made")), lambda k: F.struct(k.alias("kind"), F.size(F.filter("__made", lambda x: x == k)).alias("n_of_it")))
     docs = docs.withColumn("__made", F.coalesce(made, F.array().cast("array<string>")))
-    out = docs.withColumns({text: F.when(F.size("__found") > 0, rebuilt).otherwise(t), "n_replaced": F.size("__made"), "kinds": counts})
-    return out.drop("__found", "__new", "__made")
+    new_text = F.when(F.size("__found") > 0, rebuilt).otherwise(t)
+    return docs.select(*[new_text.alias(c) if c == text else F.col("row")[c].alias(c) for c in names], F.size("__made").alias("n_replaced"), counts.alias("kinds"))
 
 
 def pseudonym_key(spark) -> str:
-    """The session's key; the public default serves tests only."""
-    return spark.conf.get("spark.tracewell.pseudonym.key", "not a secret")
+    """The session's secret key. Only the query over the made-up tables does without one: whoever knows its key can undo it."""
+    return spark.conf.get("spark.tracewell.pseudonym.key", "key of the made-up tables, not a secret")
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:

@@ -4,8 +4,9 @@ Suffixes are kept only where a 16-word gram is the minimum of some 35 successive
 a kept suffix wherever it occurs. Grams of one text alone drop out. The other suffixes, each with the words around
 it, are sorted by content over the cluster; equal beginnings stand side by side whatever their number, since ties
 are broken by text and place. All windows of 50 words around the suffixes that share a gram are compared by their
-64-bit hashes, so no partner is left out. A group that more than one task or step holds has its different windows met in
-an aggregation, which no large group slows. Matching windows are merged to passages.
+64-bit hashes, so no partner is left out. A group of up to MOST_ROWS suffixes lies in one task whole; a larger one is dealt
+by what follows the suffix, and its different windows are met in an aggregation, which no large group slows. Matching
+windows are merged to passages.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from tracewell.llm.common import WordHashes, flat_words, over_batches, slices, s
 
 LEAST, GRAM, SPAN = 50, 16, 35  # SPAN = LEAST - GRAM + 1
 #: Words that a kept suffix carries to its left and right, and the sorted suffixes that are compared at a time.
-LEFT, RIGHT, MOST_ROWS = LEAST - GRAM, LEAST, 4096
+LEFT, RIGHT, MOST_ROWS = LEAST - GRAM, LEAST, 8192
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -81,11 +82,11 @@ def _contexts(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         words = text.split()
         for m in marks:
             p = m["pos"]
-            rows.append((m["h"], b" ".join([*words[p : p + RIGHT], b""]), tid, p, b" ".join(words[max(0, p - LEFT) : p])))
+            rows.append((m["h"], b" ".join([*words[p : p + RIGHT], b""]), tid, p, b" ".join(words[max(0, p - LEFT) : p]), m["large"]))
     if not rows:
         return None
-    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["h", "words", "tid", "pos", "before"])
+    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["h", "words", "tid", "pos", "before", "large"])
 
 
 _MATCH = [("tid", pa.binary()), ("start", pa.int32()), ("end", pa.int32()), ("other", pa.binary())]
@@ -159,7 +160,7 @@ def _compared(rows: list[tuple], hashes: WordHashes, first_open: bool, last_open
 
 def _sorted_windows(most: int):
     def run(batches):
-        """Matches within the groups of a sorted partition, `most` rows at a time, and the windows of groups that may go on elsewhere."""
+        """Matches within the groups of a sorted partition, about `most` rows at a time, and the windows of large groups, which may go on elsewhere."""
         hashes, held, going = WordHashes(), [], True
         for batch in slices(batches, "words", 1 << 20):
             held += zip(*[c.to_pylist() for c in batch.columns], strict=True)
@@ -167,12 +168,12 @@ def _sorted_windows(most: int):
                 n = most
                 while n and held[n - 1][0] == held[most][0]:
                     n -= 1
-                split = n == 0  # the whole of it is one group
+                split = n == 0  # the whole of it is one group, which is large
                 n = n or most
-                yield from _compared(held[:n], hashes, going, split)
+                yield from _compared(held[:n], hashes, going and held[0][5], split)
                 held, going = held[n:], split
         if held:
-            yield from _compared(held, hashes, going, True)
+            yield from _compared(held, hashes, going and held[0][5], held[-1][5])
 
     return run
 
@@ -218,14 +219,15 @@ def repeated_passages(docs: DataFrame, most: int = MOST_ROWS) -> DataFrame:
     slim = docs.select("doc_id", tid.alias("tid"), utf8(F.col("text")).alias("text"))
     anchors = store(over_batches(slim.select("tid", "text"), _anchors(WordHashes()), "h long, tid binary, pos int"), "suffixes")
     brief = F.xxhash64("tid")
-    shared = anchors.groupBy("h").agg(F.min(brief).alias("a"), F.max(brief).alias("b")).where("a <> b").select(F.col("h").alias("s_h"))
+    shared = anchors.groupBy("h").agg(F.min(brief).alias("a"), F.max(brief).alias("b"), (F.count("*") > most).alias("large")).where("a <> b").select(F.col("h").alias("s_h"), "large")
     shared = store(shared, "shared-grams")
-    left = anchors.join(shared, F.col("h") == F.col("s_h"), "left_semi").select("tid", F.struct("pos", "h").alias("mark"))
+    left = anchors.join(shared, F.col("h") == F.col("s_h")).select("tid", F.struct("pos", "h", "large").alias("mark"))
     marks = store(left.groupBy(F.col("tid").alias("m_tid")).agg(F.collect_set("mark").alias("marks")), "suffix-marks")  # a text's own suffixes
     texts = slim.select("tid", "text").dropDuplicates(["tid"])
     found = texts.join(marks, F.col("tid") == F.col("m_tid")).select("tid", "text", "marks")
-    around = store(over_batches(found, _contexts, "h long, words binary, tid binary, pos int, before binary"), "contexts")
-    ordered = around.repartitionByRange("h", "words", "tid", "pos").sortWithinPartitions("h", "words", "tid", "pos")
+    around = store(over_batches(found, _contexts, "h long, words binary, tid binary, pos int, before binary, large boolean"), "contexts")
+    within = F.when(F.col("large"), F.col("words"))  # a group that is not large has one place in the order, so one task
+    ordered = around.repartitionByRange("h", within, F.when(F.col("large"), F.col("tid")), F.when(F.col("large"), F.col("pos"))).sortWithinPartitions("h", "words", "tid", "pos")
     found = store(ordered.mapInArrow(_sorted_windows(most), "tid binary, start int, end int, other binary, h long, w long"), "matches")
     matches = found.where("h is null").select("tid", "start", "end", "other").union(_across(found))
     spans = matches.groupBy("tid", "start", "end").agg(F.min("other").alias("other")).repartition("tid").sortWithinPartitions("tid", "start")
@@ -245,7 +247,7 @@ def repeated_passages(docs: DataFrame, most: int = MOST_ROWS) -> DataFrame:
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    """Every document with a passage that another one repeats."""
+    """Every document with a passage that another one repeats. Null, empty and short texts have none, equal rows the same, no rows give none."""
     out = repeated_passages(table(spark, sf_dir, "documents"))
     spans = F.array_join(F.transform("passages", lambda p: F.concat_ws("-", p["start"].cast("string"), p["end"].cast("string"))), " ")
     return out.withColumn("passages", spans)
