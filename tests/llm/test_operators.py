@@ -260,6 +260,36 @@ def test_token_files_round_trip(spark, small, tmp_path):
         at += len(ids)
 
 
+def test_keyed_access(spark, tmp_path, monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_output, "BLOCK_DOCS", 3)
+    texts = [(None, "no key"), (None, "no key again"), (5, None), *[(7, f"copy {i}") for i in range(8)], *[(10 + i, f"text number {i}") for i in range(40)], (2**62, "far"), (-4, "")]
+    docs, path = spark.createDataFrame(texts, "doc_id long, text string").repartition(3), public_tokenizers.path("word_bpe_49k.json")
+    token_output.write_tokens(docs, f"file://{tmp_path}/ids", path)
+    t = Tokenizer.from_file(path)
+    asked = [None, 7, 7, 5, 12, 33, 2**62, -4, 999, -1, 2**61]
+    for named in (2000, 0):  # blocks opened by name, and by a join
+        monkeypatch.setattr(token_output, "MOST_NAMED", named)
+        got = token_output.get(spark.createDataFrame([(k,) for k in asked], "key long"), f"file://{tmp_path}/ids").collect()
+        want = Counter((k, tuple([*t.encode(x or "", add_special_tokens=False).ids, 2])) for k, x in texts if k in asked)
+        assert Counter((r.doc_id, tuple(r.ids)) for r in got) == want
+        assert sorted(r["copy"] for r in got if r.doc_id == 7) == list(range(8))
+    found = {r.key for r in token_output.locate(spark.createDataFrame([(k,) for k in {*asked, *range(100, 400)}], "key long"), f"file://{tmp_path}/ids").collect()}
+    assert found == {None, 7, 5, 12, 33, 2**62, -4}
+    import pyarrow.parquet as pq
+
+    groups = [pq.ParquetFile(f).metadata for f in (tmp_path / "ids" / "blocks").glob("*.parquet")]
+    assert all(m.num_row_groups == m.num_rows for m in groups)
+
+
+def test_slots_are_a_minimal_perfect_hash():
+    h = token_output.key_hash([*range(5000), None, -1])
+    sizes, bits, slots = token_output.build_mph(h)
+    assert sorted(slots.tolist()) == list(range(5002)) and token_output.find_slots(sizes, bits, h).tolist() == slots.tolist()
+
+
 def test_edit_matching_by_brute_force(spark):
     item = "the quick brown fox jumps over the lazy dog near the old river bank"
     edited = item.replace("quick", "quick,").replace("lazy", "lasy")
@@ -310,6 +340,28 @@ def test_shards_are_even_whole_and_gapless(spark, small):
         sizes[r.shard] += r["size"]
     assert set(slots) == set(range(16)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert max(sizes.values()) - min(sizes.values()) <= 2 * max(r["size"] for r in rows)
+    shards, copies = defaultdict(set), Counter(docs.values())
+    for r in rows:
+        shards[docs[r.doc_id]].add(r.shard)
+    together = [x for t, x in shards.items() if copies[t] > 1 and copies[t] * len(t) < sum(sizes.values()) / 16 / 40]
+    assert len(together) > 20 and all(len(x) == 1 for x in together)  # copies stay together
+
+
+def test_a_hot_text_is_cut_and_a_folder_written(spark, tmp_path):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot text " * 9).otherwise(F.concat(F.lit("text "), (F.col("id") % 1500).cast("string"))).alias("text"))
+    rows = sharding.shard_rows(docs, 4).collect()
+    sizes = Counter()
+    for r in rows:
+        sizes[r.shard] += r["size"]
+    assert max(sizes.values()) < 1.05 * min(sizes.values())
+    cold = defaultdict(set)
+    for r in rows:
+        if r.doc_id % 3:
+            cold[r.doc_id % 1500].add(r.shard)
+    assert all(len(x) == 1 for x in cold.values())
+    sharding.write_shards(docs, f"file://{tmp_path}/shards", 4)
+    back = spark.read.parquet(f"file://{tmp_path}/shards")
+    assert sorted((r.doc_id, r.shard, r.slot) for r in back.collect()) == sorted((r.doc_id, r.shard, r.slot) for r in rows)
 
 
 OPERATORS = {

@@ -3,8 +3,10 @@
 File format (Parquet as the container, so that Spark's committer and any store that Spark reads will do):
 `blocks` has rows (part, block, doc0, tok0, width, keys, ends, payload): ids little-endian in `width` bytes each, document i
 of a block lies at ends[i-1]:ends[i] (ids), doc0 and tok0 count what the part holds before the block. `parts` has the ids of
-each part. `index` has rows (bucket, sizes, bits, fingerprints, parts, blocks, offsets, copies): a cascade of bit arrays sends
-every key of a bucket to a slot of its own, and the slot's stored fingerprint tells strangers apart.
+each part. `index` has rows (bucket, sizes, bits, fingerprints, parts, blocks, offsets, copies, last_parts, last_blocks): a
+cascade of bit arrays sends every key of a bucket to a slot of its own, and the slot's stored fingerprint tells strangers
+apart. Payloads are not compressed and every block is a row group of its own, so a key's ids take one look into the index,
+one row group, and one slice.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import DOCUMENT_COLUMNS, shared_dir, slices, store, table, utf8
+from tracewell.llm.common import DOCUMENT_COLUMNS, own_dir, slices, store, table, utf8
 
 END_ID = 2
 BLOCK_BYTES, BLOCK_DOCS, BUCKET_KEYS = 4 << 20, 50_000, 20_000
@@ -138,6 +140,8 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+#: Parquet settings under which a row group ends after each block.
+_RAW = {"compression": "none", "parquet.block.size": "1", "parquet.enable.dictionary": "false", "parquet.block.row.check.min": "1", "parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.page.row.count.limit": "1"}
 _BLOCK = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("doc0", pa.int64()), ("tok0", pa.int64()), ("width", pa.int32()), ("keys", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("payload", pa.binary())])
 
 
@@ -171,7 +175,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     """Write the files. Null doc_ids come first; rows with one doc_id follow each other in input order; null texts are empty and get the end id alone."""
     ordered = docs.select("doc_id", utf8(F.col("text")).alias("text"), F.monotonically_increasing_id().alias("rid")).repartitionByRange("doc_id", "rid").sortWithinPartitions("doc_id", "rid")
     schema = "part int, block int, doc0 long, tok0 long, width int, keys array<long>, ends array<long>, payload binary"
-    ordered.select("doc_id", "text").mapInArrow(_blocks(tokenizer_path, end_id), schema).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    ordered.select("doc_id", "text").mapInArrow(_blocks(tokenizer_path, end_id), schema).write.options(**_RAW).parquet(f"{path}/blocks")
     spark = docs.sparkSession
     blocks = spark.read.parquet(f"{path}/blocks")
     heads = blocks.select("part", F.size("keys").alias("docs"), F.coalesce(F.element_at("ends", -1), F.lit(0)).alias("ids"))
@@ -237,7 +241,7 @@ def _bucket(n: int):
 def _write_index(blocks: DataFrame, path: str) -> None:
     where = F.arrays_zip(F.col("keys").alias("key"), F.concat(F.array(F.lit(0).cast("long")), F.slice("ends", 1, F.size("ends") - 1)).alias("offset"))
     entries = blocks.select("part", "block", F.explode(where).alias("e")).select(F.col("e.key").alias("key"), F.struct("part", "block", F.col("e.offset").alias("offset")).alias("at"))
-    firsts = store(entries.groupBy("key").agg(F.min("at").alias("at"), F.count("*").alias("copies")).select("key", "at.*", "copies"), "index-keys")
+    firsts = store(entries.groupBy("key").agg(F.min("at").alias("at"), F.count("*").alias("copies"), F.max("at").alias("last")).select("key", "at.*", "copies", F.col("last.part").alias("last_part"), F.col("last.block").alias("last_block")), "index-keys")
     n = max(1, -(-firsts.count() // BUCKET_KEYS))
 
     def build(t: pa.Table) -> pa.Table:
@@ -250,21 +254,21 @@ def _write_index(blocks: DataFrame, path: str) -> None:
             return out.tobytes()
 
         col = lambda c: np.asarray(t[c])
-        row = {"bucket": t["bucket"][0].as_py(), "sizes": sizes, "bits": bits.tobytes(), "fingerprints": packed((h >> np.uint64(32)).astype("<u4"), "<u4"), "parts": packed(col("part"), "<i4"), "blocks": packed(col("block"), "<i4"), "offsets": packed(col("offset"), "<i8"), "copies": packed(col("copies"), "<i8")}
-        return pa.Table.from_pylist([row], pa.schema([("bucket", pa.int32()), ("sizes", pa.list_(pa.int64())), *[(c, pa.binary()) for c in ("bits", "fingerprints", "parts", "blocks", "offsets", "copies")]]))
+        row = {"bucket": t["bucket"][0].as_py(), "sizes": sizes, "bits": bits.tobytes(), "fingerprints": packed((h >> np.uint64(32)).astype("<u4"), "<u4"), "parts": packed(col("part"), "<i4"), "blocks": packed(col("block"), "<i4"), "offsets": packed(col("offset"), "<i8"), "copies": packed(col("copies"), "<i8"), "last_parts": packed(col("last_part"), "<i4"), "last_blocks": packed(col("last_block"), "<i4")}
+        return pa.Table.from_pylist([row], pa.schema([("bucket", pa.int32()), ("sizes", pa.list_(pa.int64())), *[(c, pa.binary()) for c in ("bits", "fingerprints", "parts", "blocks", "offsets", "copies", "last_parts", "last_blocks")]]))
 
-    index = firsts.withColumn("bucket", _bucket(n)).groupBy("bucket").applyInArrow(build, "bucket int, sizes array<long>, bits binary, fingerprints binary, parts binary, blocks binary, offsets binary, copies binary")
+    index = firsts.withColumn("bucket", _bucket(n)).groupBy("bucket").applyInArrow(build, "bucket int, sizes array<long>, bits binary, fingerprints binary, parts binary, blocks binary, offsets binary, copies binary, last_parts binary, last_blocks binary")
     index.withColumn("buckets", F.lit(n)).write.parquet(f"{path}/index")
 
 
 def locate(keys: DataFrame, path: str) -> DataFrame:
-    """key -> (part, block, offset, copies) through the index, for a DataFrame with a column `key` of different keys. Keys that the files lack give no row."""
+    """key -> (part, block, offset, copies, last_part, last_block) through the index, for a DataFrame with a column `key` of different keys. Keys that the files lack give no row."""
     index = keys.sparkSession.read.parquet(f"{path}/index")
     head = index.select("buckets").first()
     n = head[0] if head else 1
 
     def look(wanted: pa.Table, idx: pa.Table) -> pa.Table:
-        out = pa.schema([("key", pa.int64()), ("part", pa.int32()), ("block", pa.int32()), ("offset", pa.int64()), ("copies", pa.int64())])
+        out = pa.schema([("key", pa.int64()), ("part", pa.int32()), ("block", pa.int32()), ("offset", pa.int64()), ("copies", pa.int64()), ("last_part", pa.int32()), ("last_block", pa.int32())])
         if not (idx.num_rows and wanted.num_rows):
             return out.empty_table()
         row = idx.slice(0, 1).to_pylist()[0]
@@ -273,10 +277,10 @@ def locate(keys: DataFrame, path: str) -> DataFrame:
         ok = slots >= 0
         ok[ok] = np.frombuffer(row["fingerprints"], "<u4")[slots[ok]] == (h[ok] >> np.uint64(32)).astype("<u4")
         get = lambda c, d: pa.array(np.frombuffer(row[c], d)[slots[ok]])
-        return pa.Table.from_arrays([wanted["key"].filter(pa.array(ok)).combine_chunks(), get("parts", "<i4"), get("blocks", "<i4"), get("offsets", "<i8"), get("copies", "<i8")], schema=out)
+        return pa.Table.from_arrays([wanted["key"].filter(pa.array(ok)).combine_chunks(), get("parts", "<i4"), get("blocks", "<i4"), get("offsets", "<i8"), get("copies", "<i8"), get("last_parts", "<i4"), get("last_blocks", "<i4")], schema=out)
 
     wanted = keys.select("key").withColumn("bucket", _bucket(n))
-    return wanted.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(look, "key long, part int, block int, offset long, copies long")
+    return wanted.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(look, "key long, part int, block int, offset long, copies long, last_part int, last_block int")
 
 
 def read_tokens(spark, path: str, ids: bool = False) -> DataFrame:
@@ -285,26 +289,67 @@ def read_tokens(spark, path: str, ids: bool = False) -> DataFrame:
     base, at = {}, 0
     for p in parts:
         base[p.part], at = at, at + p.ids
+    return _digested(spark.read.parquet(f"{path}/blocks"), base, ids)
 
+
+def _digested(blocks: DataFrame, base: dict[int, int], ids: bool) -> DataFrame:
+    """The documents of blocks; base has the ids before each part (start counts from the part where it has none)."""
     fields = [("doc_id", pa.int64()), ("part", pa.int32()), ("block", pa.int32()), ("offset", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * ids
     schema = pa.schema(fields)
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 tokens = np.frombuffer(row["payload"], f"<u{row['width']}").astype("<u4")
                 ends = np.array(row["ends"], np.int64)
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 raw = memoryview(tokens.tobytes())
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 n = len(ends)
-                cols = [pa.array(row["keys"], pa.int64()), pa.array(np.full(n, row["part"], np.int32)), pa.array(np.full(n, row["block"], np.int32)), pa.array(starts), pa.array(starts + (base[row["part"]] + row["tok0"])), pa.array(ends - starts), pa.array(crc, pa.int64())]
+                cols = [pa.array(row["keys"], pa.int64()), pa.array(np.full(n, row["part"], np.int32)), pa.array(np.full(n, row["block"], np.int32)), pa.array(starts), pa.array(starts + (base.get(row["part"], 0) + row["tok0"])), pa.array(ends - starts), pa.array(crc, pa.int64())]
                 if ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(tokens.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     ddl = "doc_id long, part int, block int, offset long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids
-    return spark.read.parquet(f"{path}/blocks").select("part", "block", "tok0", "width", "keys", "ends", "payload").mapInArrow(run, ddl)
+    return blocks.select("part", "block", "tok0", "width", "keys", "ends", "payload").mapInArrow(run, ddl)
+
+
+#: Blocks that get() opens by name; with more it joins the places with the blocks' numbers.
+MOST_NAMED = 2000
+
+
+def get(keys: DataFrame, path: str) -> DataFrame:
+    """Keyed access: doc_id, copy (from 0), ids of the documents whose keys are asked for (column `key`); only the blocks that hold one are opened.
+
+    Keys asked for twice count once, strangers give no row, a null key is one like any other. With repeated doc_ids all
+    copies come, wherever their run of blocks ends.
+    """
+    spark = keys.sparkSession
+    places = store(locate(keys.select(F.col("key").cast("long").alias("key")).distinct(), path), "places")
+    spans = places.select("part", "block", "last_part", "last_block").distinct()
+    blocks = spark.read.parquet(f"{path}/blocks")
+    few = spans.limit(MOST_NAMED + 1).collect()
+    here = F.struct(F.col("part"), F.col("block"))
+    if len(few) <= MOST_NAMED:
+        named = F.lit(False)
+        for r in few:
+            one = (r.part, r.block) == (r.last_part, r.last_block)
+            named = named | ((F.col("part") == r.part) & (F.col("block") == r.block) if one else F.col("part").between(r.part, r.last_part) & here.between(F.struct(F.lit(r.part), F.lit(r.block)), F.struct(F.lit(r.last_part), F.lit(r.last_block))))
+        opened = blocks.where(named)
+    else:
+        heads = blocks.select("part", "block")  # no payload is read for this
+        s = spans.select(*[F.col(c).alias(f"s_{c}") for c in spans.columns])
+        s = s.withColumn("s_each", F.explode(F.sequence("s_part", "s_last_part")))
+        asked = heads.join(s, (F.col("part") == F.col("s_each")) & here.between(F.struct("s_part", "s_block"), F.struct("s_last_part", "s_last_block")))
+        opened = blocks.join(asked.select("part", "block").distinct(), ["part", "block"], "left_semi")
+    read = _digested(opened, {}, True)
+    wanted = places.select("key", "copies", F.struct("part", "block", "offset").alias("first"))
+    at = F.struct(read["part"], read["block"], read["offset"])
+    hit = read.join(wanted, read["doc_id"].eqNullSafe(wanted["key"]) & (wanted["first"] <= at))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(at)) - 1
+    return hit.select("doc_id", nth.alias("copy"), "ids")
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, path: str | None = None, ids: bool = False) -> DataFrame:
@@ -315,7 +360,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, path: str | None = None, ids
     the copies follow it. An empty table gives no rows. Only doc_id and text of docs are looked at.
     """
     spark = docs.sparkSession
-    path = path or f"{shared_dir(spark)}/tracewell/tokens-{uuid.uuid4().hex}"
+    path = path or f"{own_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, path, tokenizer_path)
     keys = docs.select(F.col("doc_id").alias("key")).distinct()
     found = locate(keys, path).select("key", F.struct("part", "block", "offset").alias("place"), "copies")
@@ -332,10 +377,10 @@ def public_tokenizer() -> str:
 
 
 def op7_token_output(spark, sf_dir: str) -> DataFrame:
-    """All documents as ids of the 49k word BPE, written and read back."""
+    """All documents as ids of the 49k word BPE, written and read back. Odd rows as in tokenized."""
     return tokenized(table(spark, sf_dir, "documents"), public_tokenizer())
 
 
 def token_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: the documents' ids with their place in the order of the files."""
+    """Pipeline stage, the last: the documents' ids with their place in the order of the files. Odd rows as in tokenized."""
     return tokenized(docs.select(*DOCUMENT_COLUMNS), public_tokenizer(), ids=True)
