@@ -66,7 +66,7 @@ def over_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch |
 class WordHashes(dict):
     """Word (bytes) to its signed 64-bit hash; forgets all when it holds too many words, so memory stays bounded."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 

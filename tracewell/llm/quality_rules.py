@@ -29,7 +29,7 @@ MOST_HEAD = 1_000_000
 #: Grams looked up at a time.
 LOOKUP = 1 << 18
 #: Grams that a counting task holds before it passes them on.
-MOST_HELD = 3_000_000
+MOST_HELD = 1_000_000
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 SYMBOLS = b"#*$%&|<>"
 #: Width of the bands in robust standard deviations, chosen on labelled rows outside the held-out fold, and the least such

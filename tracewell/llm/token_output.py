@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tracewell.llm.common import DOCUMENT_COLUMNS, own_dir, slices, store, table, utf8
 
 END_ID = 2
-BLOCK_BYTES, BLOCK_DOCS, BUCKET_KEYS = 4 << 20, 50_000, 20_000
+BLOCK_BYTES, BLOCK_DOCS, BUCKET_KEYS = 2 << 20, 50_000, 20_000
 #: What a word must not hold to be cut here just as the tokenizer cuts it; a word that does goes to the tokenizer whole.
 _ODD = re.compile(r"<\||[^!-~À-ÖØ-öø-ÿ\n]")
 #: The tokenizer's own split for the remaining characters, lower-cased; a line end stands between words.
@@ -72,7 +72,7 @@ class WordEncoder:
     id comes from the tokenizers library; a bounded memory of words and of pieces spares it the repeats.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 150_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -154,7 +154,7 @@ def _blocks(tokenizer_path: str, end_id: int):
         def made():
             return pa.RecordBatch.from_pylist([{"part": part, "block": block, "doc0": doc0, "tok0": tok0, "width": width, "keys": keys, "ends": ends, "payload": b"".join(chunks)}], _BLOCK)
 
-        for batch in slices(batches, most=8 << 20):
+        for batch in slices(batches, most=4 << 20):
             for key, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1)), strict=True):
                 ids += end
                 chunks.append(ids)
