@@ -17,7 +17,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import DOCUMENT_COLUMNS, WordHashes, flat_words, slices, store, table, text_key, utf8, windows
@@ -35,6 +35,8 @@ SYMBOLS = b"#*$%&|<>"
 #: Width of the bands in robust standard deviations, chosen on labelled rows outside the held-out fold, and the least such
 #: deviation (nats a byte), far below that of any language.
 BAND, LEAST_SPREAD = 2.5, 0.001
+#: Nats a byte to which the bands' quartiles are taken.
+STEP = 1e-4
 _NOT_COUNTED = bytes([*range(9, 14), 32, *range(0x80, 0xC0)])
 
 
@@ -282,13 +284,22 @@ def measured(docs: DataFrame, carry: list[str], most_head: int = MOST_HEAD) -> D
     return out.withColumn("log_ppl", F.when(F.col("n_bytes") > 0, -F.col("log_p") / F.col("n_bytes"))).drop("log_p", "n_bytes", "rid")
 
 
+def _quarters(rows: DataFrame) -> DataFrame:
+    """b_lang, q1, q2, q3 of log_ppl for each language: exact to one STEP and the same in every run."""
+    bins = rows.groupBy(F.col("lang").alias("b_lang"), F.floor(F.col("log_ppl") / STEP).alias("bin")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("b_lang").orderBy("bin"))  # of some ten thousand bins at most
+    bins = bins.withColumns({"upto": upto, "all": F.sum("n").over(Window.partitionBy("b_lang"))})
+    q = [F.min(F.when(4 * F.col("upto") >= k * F.col("all"), (F.col("bin") + 0.5) * STEP)).alias(f"q{k}") for k in (1, 2, 3)]
+    return bins.groupBy("b_lang").agg(*q)
+
+
 def judged(rows: DataFrame) -> DataFrame:
     """Adds base_failed, low, high and kept to stored rows of measured() that have lang. The bands of a language (null is one) come from all its rows that pass the base."""
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
-    q = F.percentile_approx("log_ppl", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(2000)).alias("q")
-    spread = F.greatest((F.element_at("q", 3) - F.element_at("q", 1)) / 1.349, F.lit(LEAST_SPREAD)) * BAND
-    bands = rows.where(~failed).groupBy(F.col("lang").alias("b_lang")).agg(q).select("b_lang", (F.element_at("q", 2) - spread).alias("low"), (F.element_at("q", 2) + spread).alias("high"))
+    quarters = _quarters(rows.where(~failed & F.col("log_ppl").isNotNull()))
+    spread = F.greatest((F.col("q3") - F.col("q1")) / 1.349, F.lit(LEAST_SPREAD)) * BAND
+    bands = quarters.select("b_lang", (F.col("q2") - spread).alias("low"), (F.col("q2") + spread).alias("high"))
     bands = store(bands, "bands")
     if bands.count() <= 100_000:
         bands = F.broadcast(bands)
