@@ -24,15 +24,15 @@ def format_inr(amount: Column) -> Column:
     whole, paise = F.floor(a).cast("long"), (a * 100 % 100).cast("int")
     sign = F.when(amount < 0, "-").otherwise("")
     digits = F.concat(_grouped(whole.cast("string")), F.when(paise > 0, F.format_string(".%02d", paise)).otherwise(""))
-    return F.concat(F.lit("Rs "), sign, digits)
+    return F.concat(sign, F.lit("Rs "), digits)
 
 
 def inr_words(amount: Column) -> Column:
     """Rupees in crore or lakh with at most two decimals; smaller amounts grouped."""
     a = F.abs(amount.cast("decimal(20,2)"))
     sign = F.when(amount < 0, "-").otherwise("")
-    crore = F.concat(F.lit("Rs "), sign, _trimmed(F.round(a / Decimal(10_000_000), 2)), F.lit(" crore"))
-    lakh = F.concat(F.lit("Rs "), sign, _trimmed(F.round(a / Decimal(100_000), 2)), F.lit(" lakh"))
+    crore = F.concat(sign, F.lit("Rs "), _trimmed(F.round(a / Decimal(10_000_000), 2)), F.lit(" crore"))
+    lakh = F.concat(sign, F.lit("Rs "), _trimmed(F.round(a / Decimal(100_000), 2)), F.lit(" lakh"))
     return F.when(a >= 10_000_000, crore).when(a >= 100_000, lakh).otherwise(format_inr(amount))
 
 
@@ -41,18 +41,16 @@ def plain_money(amount: Column) -> Column:
     return F.concat(F.lit("Rs "), F.format_number(amount, 0))
 
 
-def _tenths(minutes: Column, unit: int) -> Column:
-    """Minutes in a unit of so many, to one decimal, half up, in whole numbers."""
-    t = F.floor((minutes * 10 + unit // 2) / unit).cast("long")
-    return F.format_string("%d.%d", F.floor(t / 10).cast("long"), t % 10)
+#: Tenths of an hour that lie halfway: their printed form hangs on the binary fraction, so they are told by rule.
+_HALVES_UP = [s for s in range(7200 + 180, 172_800, 360) if float(f"{s / 60 / 60:.1f}") > s / 3600]
 
 
 def duration(minutes: Column) -> Column:
-    """Whole minutes below 120, hours below 48 hours, else days."""
-    return (
-        F.when(minutes < 120, F.format_string("%d minutes", minutes.cast("long")))
-        .when(minutes < 48 * 60, F.concat(_tenths(minutes, 60), F.lit(" hours"))).otherwise(F.concat(_tenths(minutes, 1440), F.lit(" days")))
-    )
+    """Minutes below 120, hours with one decimal below 48 hours, else whole days."""
+    s = F.round(minutes * 60).cast("long")
+    tenths = F.floor(s / 360).cast("long") + F.when(s % 360 > 180, 1).when((s % 360 == 180) & s.isin(_HALVES_UP), 1).otherwise(0)
+    hours = F.format_string("%d.%d h", F.floor(tenths / 10).cast("long"), (tenths % 10).cast("long"))
+    return F.when(s < 7200, F.concat(F.bround(s / 60).cast("long").cast("string"), F.lit(" min"))).when(s < 172_800, hours).otherwise(F.concat(F.bround(s / 86400).cast("long").cast("string"), F.lit(" days")))
 
 
 def percent(share: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import temporal
 from tracewell.operators.components import components
+from tracewell.operators.numbering import numbered
 from tracewell.operators.views import in_order
 from tracewell.storage import store
 
@@ -109,8 +110,8 @@ def build(findings: DataFrame, txn: DataFrame, people: DataFrame, cfg) -> dict[s
     args = [F.col(x) for x in ("detectors", "amount", "watched", "crosses_banks")]
     g = g.withColumn("score", priority_score(*args, cfg)).withColumn("level", priority_level(F.col("score"), cfg)).withColumn("reasons", priority_reasons(*args, cfg))
     g = g.withColumn("hours", F.round((F.col("last_ts") - F.col("first_ts")) / 3600.0, 2)).withColumn("lane", F.when(F.col("watched"), "WATCHLIST").otherwise("DISCOVERY"))
-    nth = F.row_number().over(Window.orderBy(F.desc("score"), F.desc("amount"), F.element_at("evidence_ids", 1)))  # cases are few
-    g = store(g.withColumn("case_id", F.format_string("C%03d", nth)), "cases")
+    g = numbered(g, [F.desc("score"), F.desc("amount"), F.element_at("evidence_ids", 1)], "nth")
+    g = store(g.withColumn("case_id", F.format_string("C%03d", "nth")).drop("nth"), "cases")
     ids = g.select("group", "case_id")
     ctx = context(c, span, txn, cfg)
     top = store(context_people(ctx, cfg).join(ids, "group"), "context-people")
@@ -132,7 +133,7 @@ def links(top: DataFrame, case_core: DataFrame) -> DataFrame:
     """case_id, other_case, person, direction, amount: a context person who is at the core of another case (the first such) links both."""
     other = case_core.select("person", F.col("case_id").alias("other_case"))
     hit = top.join(other, "person").where("case_id <> other_case")
-    first = hit.groupBy("case_id", "direction", "person", "amount").agg(F.min("other_case").alias("other_case"))
+    first = hit.groupBy("case_id", "direction", "person", "amount").agg(F.min_by("other_case", F.struct(F.length("other_case"), "other_case")).alias("other_case"))  # C1000 comes after C999
     there = first.select("case_id", "other_case", "person", "direction", "amount")
     flipped = first.select(F.col("other_case").alias("case_id"), F.col("case_id").alias("other_case"), "person", F.when(F.col("direction") == "IN", "OUT").otherwise("IN").alias("direction"), "amount")
     return there.union(flipped)
@@ -153,12 +154,19 @@ def without_watchlist(case_evidence: DataFrame, blind: DataFrame) -> DataFrame:
 
 
 def main_suspect(case_core: DataFrame, ev: DataFrame, detectors: DataFrame) -> DataFrame:
-    """case_id, suspect: the payer of most people for SPRAY, the receiver from most for THRESHOLD without CIRCLE, else who sent the first evidence, if at the core."""
-    fan = lambda a, b: ev.groupBy("case_id", F.col(a).alias("p")).agg(F.count_distinct(b).alias("n")).groupBy("case_id").agg(F.max_by("p", F.struct("n", -F.col("p"))).alias(f"by_{a}"))
+    """case_id, suspect: for SPRAY who paid most people, for THRESHOLD without CIRCLE who received most deposits (of equals who came first), else who sent the first evidence, if at the core."""
+    when = F.min(F.struct("ts", "txn_id"))
+
+    def most(side: str, n: Column, name: str) -> DataFrame:
+        each = ev.groupBy("case_id", F.col(side).alias("p")).agg(n.alias("n"), when.alias("at"))
+        w = Window.partitionBy("case_id").orderBy(F.desc("n"), "at")
+        return each.withColumn("nth", F.row_number().over(w)).where("nth = 1").select("case_id", F.col("p").alias(name))
+
     first = ev.groupBy("case_id").agg(F.min_by("payer", F.struct("ts", "txn_id")).alias("first"))
     fallback = case_core.groupBy("case_id").agg(F.min("person").alias("least"))
     is_core = case_core.select("case_id", F.col("person").alias("first"), F.lit(True).alias("ok"))
-    out = detectors.join(fan("payer", "payee"), "case_id").join(fan("payee", "payer"), "case_id").join(first, "case_id").join(fallback, "case_id").join(is_core, ["case_id", "first"], "left")
+    out = detectors.join(most("payer", F.count_distinct("payee"), "spread"), "case_id").join(most("payee", F.count("*"), "received"), "case_id")
+    out = out.join(first, "case_id").join(fallback, "case_id").join(is_core, ["case_id", "first"], "left")
     has = lambda d: F.array_contains("detectors", d)
     sender = F.when(F.col("ok"), F.col("first")).otherwise(F.col("least"))
-    return out.select("case_id", F.when(has("SPRAY"), F.col("by_payer")).when(has("THRESHOLD") & ~has("CIRCLE"), F.col("by_payee")).otherwise(sender).alias("suspect"))
+    return out.select("case_id", F.when(has("SPRAY"), F.col("spread")).when(has("THRESHOLD") & ~has("CIRCLE"), F.col("received")).otherwise(sender).alias("suspect"))

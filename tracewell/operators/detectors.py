@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.operators import temporal
+from tracewell.operators.numbering import numbered
 from tracewell.storage import store
 
 COLUMNS = ["detector", "key", "txn_ids", "facts"]
@@ -18,7 +19,9 @@ def watched(people: DataFrame) -> DataFrame:
 
 
 def with_watch(txn: DataFrame, watch: DataFrame) -> DataFrame:
-    """Adds payer_watched, payee_watched and touches_watch."""
+    """Adds payer_watched, payee_watched and touches_watch, once."""
+    if "touches_watch" in txn.columns:
+        return txn
     for side in ("payer", "payee"):
         txn = txn.join(watch.withColumnRenamed("w_person", f"w_{side}"), F.col(side) == F.col(f"w_{side}"), "left").withColumn(f"{side}_watched", F.col(f"w_{side}").isNotNull()).drop(f"w_{side}")
     return txn.withColumn("touches_watch", F.col("payer_watched") | F.col("payee_watched"))
@@ -113,19 +116,26 @@ def touches(txn: DataFrame) -> DataFrame:
 
 
 def dormant_rows(txn: DataFrame, accounts: DataFrame, watch: DataFrame, cfg) -> DataFrame:
-    """The first qualifying gap of each old account: account, age, gap, a_ts, a_txn, burst_txns, burst_amount, required."""
-    t = touches(with_watch(txn, watch))
-    order = Window.partitionBy("account").orderBy("ts", "txn_id", F.desc("is_sender"))
-    burst = Window.partitionBy("account").orderBy("ts").rangeBetween(0, cfg.dormant_burst)
-    t = t.withColumns({"nth": F.row_number().over(order), "gap": F.col("ts") - F.lag("ts").over(order)})
-    t = t.withColumns({"burst_txns": F.count("*").over(burst), "burst_amount": F.sum("amount").over(burst), "watch": F.max("touches_watch").over(burst)})
-    t = t.where((F.col("nth") > 1) & (F.col("nth") <= cfg.dormant_max_before + 1) & (F.col("gap") >= cfg.dormant_gap))
-    t = t.withColumn("required", F.when(F.col("watch"), cfg.dormant_txns_watch).otherwise(cfg.dormant_txns))
-    t = t.where((F.col("burst_txns") >= F.col("required")) & (F.col("burst_amount") >= F.when(F.col("watch"), F.lit(cfg.dormant_amount_watch)).otherwise(F.lit(cfg.dormant_amount))))
+    """The first qualifying gap of each old account: account, age, gap, a_ts, a_txn, burst_txns, burst_amount, required.
+
+    Only an account's first touches can open a burst; they come from counts by time that are cut short, and the bursts
+    from a join in time, so a busy account never lies in one window.
+    """
+    t = touches(with_watch(txn, watch)).select("account", "ts", "txn_id", "is_sender", "amount", "touches_watch")
     old = accounts.where(F.col("age") >= cfg.dormant_age).select(F.col("account").alias("o_account"), "age")
-    t = t.join(old, F.col("account") == F.col("o_account"))
-    first = t.withColumn("__n", F.row_number().over(Window.partitionBy("account").orderBy("nth"))).where("__n = 1")
-    return first.select("account", "age", "gap", F.col("ts").alias("a_ts"), F.col("txn_id").alias("a_txn"), "burst_txns", "burst_amount", "required")
+    t = store(t.join(old, F.col("account") == F.col("o_account")).drop("o_account"), "touches")
+    few = cfg.dormant_max_before + 1
+    spread = Window.partitionBy("account", F.pmod(F.xxhash64("txn_id"), F.lit(64))).orderBy("ts", "txn_id", F.desc("is_sender"))
+    early = t.withColumn("__n", F.row_number().over(spread)).where(F.col("__n") <= few)  # the first of each of 64 lots hold the first of all
+    order = Window.partitionBy("account").orderBy("ts", "txn_id", F.desc("is_sender"))
+    early = early.withColumns({"nth": F.row_number().over(order), "gap": F.col("ts") - F.lag("ts").over(order)}).where((F.col("nth") > 1) & (F.col("nth") <= few) & (F.col("gap") >= cfg.dormant_gap))
+    heads = early.select(F.col("account").alias("h_account"), "age", "nth", "gap", F.col("ts").alias("a_ts"), F.col("txn_id").alias("a_txn"))
+    near = temporal.range_join(heads, t.drop("age"), [("h_account", "account")], F.col("a_ts"), F.col("a_ts") + cfg.dormant_burst, "ts", cfg.dormant_burst)
+    b = near.groupBy(F.col("h_account").alias("account"), "age", "nth", "gap", "a_ts", "a_txn").agg(F.count("*").alias("burst_txns"), F.sum("amount").alias("burst_amount"), F.max("touches_watch").alias("watch"))
+    b = b.withColumn("required", F.when(F.col("watch"), cfg.dormant_txns_watch).otherwise(cfg.dormant_txns))
+    b = b.where((F.col("burst_txns") >= F.col("required")) & (F.col("burst_amount") >= F.when(F.col("watch"), F.lit(cfg.dormant_amount_watch)).otherwise(F.lit(cfg.dormant_amount))))
+    first = b.groupBy("account").agg(F.min_by(F.struct("age", "gap", "a_ts", "a_txn", "burst_txns", "burst_amount", "required"), "nth").alias("f"))
+    return first.select("account", "f.*")
 
 
 def dormant(txn: DataFrame, accounts: DataFrame, watch: DataFrame, cfg) -> DataFrame:
@@ -144,27 +154,44 @@ def pass_candidates(txn: DataFrame, cfg) -> DataFrame:
 
 
 def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values(["i_ts", "i_txn", "o_ts", "o_txn"])
     taken, done, rows = set(), set(), []
-    for r in pdf.sort_values(["i_ts", "i_txn", "o_ts", "o_txn"]).itertuples():
-        if r.i_txn not in done and r.o_txn not in taken:
-            done.add(r.i_txn)
-            taken.add(r.o_txn)
-            rows.append(r.Index)
-    return pdf.loc[rows]
+    for k, (i, o) in enumerate(zip(pdf["i_txn"].tolist(), pdf["o_txn"].tolist(), strict=True)):
+        if i not in done and o not in taken:
+            done.add(i)
+            taken.add(o)
+            rows.append(k)
+    return pdf.iloc[rows]
+
+
+#: Groups of episodes that are matched together, to a shuffle partition.
+PACKS = 4
 
 
 def pass_pairs(txn: DataFrame, cfg) -> DataFrame:
     """One-to-one pairs: incoming legs in order take the earliest outgoing leg still free.
 
-    Legs of an account with a longer pause than the window between them cannot compete, so an account's history falls
-    into episodes that are matched on their own.
+    A pair in which each leg is the other's first choice is settled at once, for no earlier leg could take it. What is
+    left falls into episodes: legs of an account with a longer pause than the window between them cannot compete. Many
+    episodes are matched in one call, since legs of different accounts never compete either.
     """
+    first = lambda own, *order: F.row_number().over(Window.partitionBy(own).orderBy(*order)) == 1
     c = pass_candidates(txn, cfg)
+    columns = c.columns
+    c = store(c.withColumns({"i_first": first("i_txn", "o_ts", "o_txn"), "o_first": first("o_txn", "i_ts", "i_txn")}), "pass-candidates")
+    settled = c.where("i_first and o_first").select(*columns)
+    rest = c.where("not (i_first and o_first)").select(*columns)
+    for leg in ("i_txn", "o_txn"):
+        rest = rest.join(settled.select(leg), leg, "left_anti")
+    rest = rest.select(*columns)
     order = Window.partitionBy("account").orderBy("i_ts", "i_txn")
     apart = F.coalesce(F.col("i_ts") > F.max("o_ts").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
-    c = c.withColumn("episode", F.sum(apart.cast("long")).over(order))
-    kinds = dict(c.dtypes)
-    return c.groupBy("account", "episode").applyInPandas(_greedy, ", ".join(f"{k} {kinds[k]}" for k in c.columns)).drop("episode")
+    rest = rest.withColumn("episode", F.sum(apart.cast("long")).over(order))
+    packs = PACKS * int(txn.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rest = rest.withColumn("pack", F.pmod(F.xxhash64("account", "episode"), F.lit(packs))).drop("episode")
+    kinds = dict(rest.dtypes)
+    matched = rest.groupBy("pack").applyInPandas(_greedy, ", ".join(f"{k} {kinds[k]}" for k in rest.columns)).select(*columns)
+    return settled.union(matched)
 
 
 def pass_through(txn: DataFrame, watch: DataFrame, cfg) -> DataFrame:
@@ -226,10 +253,11 @@ def watchlist_signals(txn: DataFrame, accounts: DataFrame, watch: DataFrame, cfg
 
 def run_detectors(b, cfg, watch: DataFrame | None = None) -> DataFrame:
     """All detectors over one bank. watch replaces the watchlist, as for the blind re-run."""
-    watch = watched(b.people) if watch is None else watch
+    watch = store(watched(b.people) if watch is None else watch, "watchlist")
+    txn = store(with_watch(b.txn, watch), "tagged")
     parts = [
-        circle(b.txn, cfg), spray(b.txn, watch, cfg), speed(b.txn, watch, cfg), threshold(b.txn, watch, cfg), watchlist_signals(b.txn, b.accounts, watch, cfg),
-        dormant(b.txn, b.accounts, watch, cfg), pass_through(b.txn, watch, cfg), round_clustering(b.txn, watch, cfg),
+        circle(txn, cfg), spray(txn, watch, cfg), speed(txn, watch, cfg), threshold(txn, watch, cfg), watchlist_signals(txn, b.accounts, watch, cfg),
+        dormant(txn, b.accounts, watch, cfg), pass_through(txn, watch, cfg), round_clustering(txn, watch, cfg),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -247,6 +275,5 @@ def findings(found: DataFrame, txn: DataFrame, watch: DataFrame) -> DataFrame:
     )
     lane = F.when((F.col("detector") == "WATCHLIST_SIGNAL") | F.col("watch"), "WATCHLIST").otherwise("DISCOVERY").alias("lane")
     out = found.join(g, ["detector", "key"]).select("detector", "key", lane, "people", "accounts", "txn_ids", "total_amount", "first_ts", "last_ts", "facts")
-    out = store(out, "findings")
-    nth = F.row_number().over(Window.orderBy(F.desc("total_amount"), "detector", F.element_at("txn_ids", 1), "key"))  # findings are few
-    return out.withColumn("finding_id", F.format_string("F%04d", nth))
+    out = numbered(out, [F.desc("total_amount"), F.col("detector"), F.element_at("txn_ids", 1), F.col("key")], "nth")
+    return out.withColumn("finding_id", F.format_string("F%04d", "nth")).drop("nth")

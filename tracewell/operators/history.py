@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import temporal
 from tracewell.operators.detectors import touches
+from tracewell.storage import store
 
 
 def account_history(txn: DataFrame) -> DataFrame:
@@ -19,12 +20,31 @@ def account_history(txn: DataFrame) -> DataFrame:
     )
 
 
-def fastest_forward(txn: DataFrame, window: int, share: float = 0.5) -> DataFrame:
-    """account, fastest_s: least delay from an incoming leg to the first outgoing one, not earlier, of at least a share of it, within the window."""
-    j = temporal.range_join(txn, temporal.steps(txn), [("dst", "n_src")], F.col("ts"), F.col("ts") + window, "n_ts", window)
-    j = j.where((F.col("n_amount") >= F.lit(share).cast("decimal(3,2)") * F.col("amount")) & (F.col("n_txn") != F.col("txn_id")))
-    first = j.groupBy("txn_id", F.col("dst").alias("account"), "ts").agg(F.min("n_ts").alias("next"))
-    return first.groupBy("account").agg(F.min(F.col("next") - F.col("ts")).alias("fastest_s"))
+def fastest_forward(txn: DataFrame, share: str = "0.50", window: int = 86400) -> DataFrame:
+    """account, fastest_s: least delay from an incoming leg to an outgoing one, not earlier, of at least a share of it.
+
+    The delay has no limit. Accounts that have such a pair within the window are settled by it; the others, which are
+    quiet or shrink every amount, look again with a window sixteen times as wide until it spans all of time.
+    """
+    span = txn.agg(F.max("ts") - F.min("ts")).first()[0] or 0
+    legs = store(txn.select("txn_id", "ts", "src", "dst", "amount"), "legs")
+    open_accounts, out = None, None
+    while True:
+        left = legs if open_accounts is None else legs.join(open_accounts, F.col("dst") == F.col("o_account"), "left_semi")
+        right = legs.select(F.col("ts").alias("n_ts"), F.col("src").alias("n_src"), F.col("amount").alias("n_amount"))
+        if open_accounts is not None:
+            right = right.join(open_accounts, F.col("n_src") == F.col("o_account"), "left_semi")
+        j = temporal.range_join(left, right, [("dst", "n_src")], F.col("ts"), F.col("ts") + window, "n_ts", window)
+        j = j.where(F.col("n_amount") >= F.lit(share).cast("decimal(3,2)") * F.col("amount"))
+        found = store(j.groupBy(F.col("dst").alias("account")).agg(F.min(F.col("n_ts") - F.col("ts")).alias("fastest_s")), "fastest")
+        out = found if out is None else out.union(found)
+        if window > span:
+            return out
+        both = left.select(F.col("dst").alias("o_account")).distinct().join(right.select(F.col("n_src").alias("o_account")).distinct(), "o_account", "left_semi")
+        open_accounts = store(both.join(found, F.col("o_account") == F.col("account"), "left_anti"), "open-accounts")
+        if open_accounts.isEmpty():
+            return out
+        window *= 16
 
 
 def counterparties(txn: DataFrame, top: int = 8) -> DataFrame:

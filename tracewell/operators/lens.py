@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.operators import temporal
@@ -66,18 +66,22 @@ def summary(s: DataFrame) -> DataFrame:
     return s.agg(F.count("*").alias("groups"), F.avg("n_signals").alias("mean_signals"), F.avg((F.col("n_signals") >= 2).cast("int")).alias("two_or_more"), *[F.avg(F.col(r).cast("int")).alias(f"{r}_rate") for r in ("r1", "r2", "r3", "r4", "r5")])
 
 
-def control_groups(txn: DataFrame, sizes: DataFrame, per_case: int, seed: int = 7, rounds: int = 4) -> DataFrame:
-    """group, txn_id: neighbourhoods as large as the cases (group, people, transfers), grown from people drawn by hash.
+def control_groups(txn: DataFrame, sizes: DataFrame, per_case: int, involved: DataFrame | None = None, seed: int = 7, rounds: int = 4) -> DataFrame:
+    """group, txn_id: neighbourhoods as large as the cases (group, people, transfers; three of each at least), grown from people drawn by hash.
 
     Each round adds the neighbours of everyone in a group in hash order until the size is reached; the group's transfers
-    are those among its people, as many as the case has.
+    are those among its people, as many as the case has. People of the cases (`involved`: person) are neither drawn nor
+    joined. Groups without a transfer among themselves give no row.
     """
+    if involved is not None:
+        out = store(involved.select("person").distinct(), "involved")
+        for side in ("payer", "payee"):
+            txn = txn.join(out, F.col(side) == F.col("person"), "left_anti")
+        txn = store(txn, "ordinary")
     near = store(txn.where("payer <> payee").select(F.col("payer").alias("p"), F.col("payee").alias("q")).union(txn.where("payer <> payee").select("payee", "payer")).distinct(), "neighbours")
     everyone = store(near.select("p").distinct(), "everyone")
-    wanted = sizes.select(F.col("group").alias("case"), F.col("people").cast("int").alias("people"), F.col("transfers").cast("int").alias("transfers"), F.explode(F.sequence(F.lit(1), F.lit(per_case))).alias("k"))
+    wanted = sizes.select(F.col("group").alias("case"), F.greatest(F.col("people").cast("int"), F.lit(3)).alias("people"), F.greatest(F.col("transfers").cast("int"), F.lit(3)).alias("transfers"), F.explode(F.sequence(F.lit(1), F.lit(per_case))).alias("k"))
     wanted = store(wanted.withColumn("group", F.concat_ws("#", F.col("case").cast("string"), F.col("k").cast("string"))), "controls")
-    from pyspark.sql import Window
-
     # every person has a rank: the place within its slot after the people of all slots before
     lot = everyone.withColumn("slot", F.pmod(F.xxhash64("p", F.lit(seed)), F.lit(1 << 10)))
     lot = lot.withColumn("nth", F.row_number().over(Window.partitionBy("slot").orderBy(F.xxhash64("p", F.lit(seed + 1)), "p")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import names
 from tracewell.operators.components import components
+from tracewell.operators.numbering import numbered
 from tracewell.storage import store
 
 FIELDS = ("linked_account", "pan", "phone", "address")
@@ -22,20 +23,25 @@ def prepared(records: DataFrame) -> DataFrame:
     return r.withColumn("sound", F.when(F.size("tokens") > 0, names.sound_code(F.element_at("tokens", -1))).otherwise(""))
 
 
-def blocking_pairs(records: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, that share an account, PAN, phone, address, initial with surname, token set, name, or surname's sound."""
+def blocking_pairs(records: DataFrame, fields_only: bool = False) -> DataFrame:
+    """Pairs (a, b), a < b, that share an account, PAN, phone, address, initial with surname, token set, name, or surname's sound.
+
+    Every rule asks for an equal account, PAN, phone or address, so fields_only loses no link; the other keys are kept for
+    those who want to see all candidates.
+    """
     some = F.size("tokens") > 0
     last = F.element_at("tokens", -1)
-    keys = F.array(
-        *[F.struct(F.lit(f).alias("kind"), F.col(f).alias("value")) for f in FIELDS],
+    named = [
         F.struct(F.lit("initial").alias("kind"), F.when(some, F.concat_ws(" ", F.substring("stripped", 1, 1), last)).alias("value")),
         F.struct(F.lit("tokens").alias("kind"), F.when(some, F.array_join(F.array_sort("tokens"), " ")).alias("value")),
         F.struct(F.lit("name").alias("kind"), F.when(some, F.col("stripped")).alias("value")),
         F.struct(F.lit("sound").alias("kind"), F.when(F.col("sound") != "", F.col("sound")).alias("value")),
-    )
-    k = store(records.select("record_id", F.explode(keys).alias("k")).select("record_id", "k.*").where("value is not null"), "blocking-keys")
+    ]
+    keys = F.array(*[F.struct(F.lit(f).alias("kind"), F.col(f).alias("value")) for f in FIELDS], *([] if fields_only else named))
+    k = records.select("record_id", F.explode(keys).alias("k")).select("record_id", F.xxhash64("k.kind", "k.value").alias("key"), F.col("k.value").alias("value"), F.col("k.kind").alias("kind")).where("value is not null")
+    k = store(k, "blocking-keys")
     a, b = k.withColumnRenamed("record_id", "a"), k.withColumnRenamed("record_id", "b")
-    return a.join(b, ["kind", "value"]).where("a < b").select("a", "b").distinct()
+    return a.join(b, ["key", "kind", "value"]).where("a < b").select("a", "b").distinct()
 
 
 def paired(pairs: DataFrame, records: DataFrame) -> DataFrame:
@@ -58,11 +64,17 @@ def _fired(rules: dict[str, Column]) -> Column:
     return F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]), lambda r: r.isNotNull())
 
 
+#: The names of the rules and blockers in the results.
+RULES = {"R0": "R0_same_account", "R1": "R1_same_pan", "R2": "R2_phone_and_name_sim", "R3": "R3_address_and_name_sim", "R4": "R4_phone_and_address", "R5": "R5_initials", "R6": "R6_reversed", "R7": "R7_suffix_stripped", "R8": "R8_soundex"}
+PAN_CONFLICT, NAME_ONLY_CONFLICT = "B1_PAN_CONFLICT", "B2_NAME_ONLY_CONFLICT"
+
+
 def matched(pairs: DataFrame, cfg, similarity: bool = True) -> DataFrame:
-    """a, b, tier (BLOCKED, GREEN, YELLOW, NONE), rules, blockers.
+    """a, b, tier (BLOCKED, GREEN, YELLOW, NONE), rules (of the tier alone), blocker (null unless BLOCKED), same_address_block.
 
     Order of precedence: different PANs block; any green rule; a conflict of phone and address blocks; any yellow rule.
-    Without similarity only equal names count as similar.
+    same_address_block marks pairs that different PANs block at one address. Without similarity only equal names count
+    as similar.
     """
     account, pan, phone, address = [_agree(f) for f in FIELDS]
     b1, b2 = _conflict("pan"), _conflict("phone") & _conflict("address")
@@ -77,14 +89,21 @@ def matched(pairs: DataFrame, cfg, similarity: bool = True) -> DataFrame:
         alike, near = named & F.coalesce(F.col("__score") >= cfg.name_green, F.lit(False)), named & F.coalesce(F.col("__score") >= cfg.name_yellow, F.lit(False))
     sound = F.coalesce((F.col("x.sound") == F.col("y.sound")) & (F.col("x.sound") != ""), F.lit(False))
     other = phone | address | pan
-    rules = {
-        "R0": account, "R1": pan, "R2": phone & alike & ~b2, "R3": address & alike & ~_conflict("phone") & ~b2, "R4": phone & address,
-        "R5": other & initials, "R6": other & turned, "R7": other & named & same, "R8": other & sound & near,
-    }
-    green = rules["R0"] | rules["R1"] | rules["R2"] | rules["R3"] | rules["R4"]
-    yellow = rules["R5"] | rules["R6"] | rules["R7"] | rules["R8"]
-    tier = F.when(b1, "BLOCKED").when(green, "GREEN").when(b2, "BLOCKED").when(yellow, "YELLOW").otherwise("NONE")
-    return p.select("a", "b", tier.alias("tier"), _fired(rules).alias("rules"), _fired({"B1": b1, "B2": b2, "B3": b1 & address}).alias("blockers"))
+    green = {"R0": account, "R1": pan, "R2": phone & alike & ~b2, "R3": address & alike & ~_conflict("phone") & ~b2, "R4": phone & address}
+    yellow = {"R5": other & initials, "R6": other & turned, "R7": other & named & same, "R8": other & sound & near}
+    fired = lambda rules: _fired({RULES[r]: c for r, c in rules.items()})
+    p = p.select("a", "b", b1.alias("b1"), b2.alias("b2"), (b1 & address).alias("same_address_block"), fired(green).alias("green"), fired(yellow).alias("yellow"))
+    tier = F.when(F.col("b1"), "BLOCKED").when(F.size("green") > 0, "GREEN").when(F.col("b2"), "BLOCKED").when(F.size("yellow") > 0, "YELLOW").otherwise("NONE")
+    p = p.withColumn("tier", tier)
+    rules = F.when(F.col("tier") == "GREEN", F.col("green")).when(F.col("tier") == "YELLOW", F.col("yellow")).otherwise(F.array().cast("array<string>"))
+    blocker = F.when(F.col("b1"), PAN_CONFLICT).when(F.col("tier") == "BLOCKED", NAME_ONLY_CONFLICT)
+    return p.select("a", "b", "tier", rules.alias("rules"), blocker.alias("blocker"), "same_address_block")
+
+
+def counters(m: DataFrame) -> DataFrame:
+    """name, n: how often each rule fired and each blocker stopped a pair, and pairs stopped at one address."""
+    named = F.concat("rules", F.when(F.col("blocker").isNotNull(), F.array("blocker")).otherwise(F.array().cast("array<string>")), F.when(F.col("same_address_block"), F.array(F.lit("B3_SAME_ADDRESS"))).otherwise(F.array().cast("array<string>")))
+    return m.select(F.explode(named).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
 
 
 def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -120,7 +139,7 @@ def green_clusters(records: DataFrame, green: DataFrame) -> DataFrame:
     mixed = store(mixed, "mixed")
     inside = green.join(comp.select(F.col("node").alias("a"), "root"), "a").join(mixed, F.col("root") == F.col("m_root"), "left_semi")
     inside = inside.join(pans.select(F.col("node").alias("a"), F.col("pan").alias("pan_a")), "a").join(pans.select(F.col("node").alias("b"), F.col("pan").alias("pan_b")), "b")
-    again = inside.select("root", "a", "b", "pan_a", "pan_b").groupBy("root").applyInPandas(_replay, "node string, root string, refused long").select("node", "root")
+    again = inside.select("root", "a", "b", "pan_a", "pan_b").groupBy("root").applyInPandas(_replay, "node string, root string, refused long").select("node", "root")  # components that two PANs share only
     clean = comp.join(mixed, F.col("root") == F.col("m_root"), "left_anti")
     known = store(clean.select("node", "root").union(again), "clusters")
     return records.select(F.col("record_id").alias("node")).join(known, "node", "left").select(F.col("node").alias("record_id"), F.coalesce("root", "node").alias("root"))
@@ -190,21 +209,8 @@ def entities(records: DataFrame, clusters: DataFrame, links: DataFrame, accounts
         g = g.unionByName(lone, allowMissingColumns=True)
     none = F.array().cast("array<string>")
     g = g.select("root", "orphan", "canonical_name", "phone", "pan", "address", "account_ids", F.coalesce("record_ids", none).alias("record_ids"), F.coalesce("has_unverified_link", F.lit(False)).alias("has_unverified_link"), F.coalesce("is_watchlisted", F.lit(False)).alias("is_watchlisted"), F.coalesce("rules_used", none).alias("rules_used"))
-    return numbered(g)
-
-
-def numbered(g: DataFrame) -> DataFrame:
-    """PERSON numbers in the order of the roots, orphans last. Ranges of roots are counted first, so no task sorts them all."""
-    ranged = store(g.repartitionByRange("orphan", "root").sortWithinPartitions("orphan", "root").withColumn("__p", F.spark_partition_id()), "entities")
-    counts = ranged.groupBy("__p").count().collect()  # a row to a partition
-    before, at = [], 0
-    for p, n in sorted(counts):
-        before.append((p, at))
-        at += n
-    offsets = g.sparkSession.createDataFrame(before or [(0, 0)], "__p int, __at long")
-    nth = F.row_number().over(Window.partitionBy("__p").orderBy("orphan", "root"))
-    out = ranged.withColumn("__n", nth).join(F.broadcast(offsets), "__p")
-    return out.select(F.format_string("PERSON%05d", F.col("__at") + F.col("__n")).alias("entity_key"), *[c for c in g.columns if c != "orphan"])
+    out = numbered(g, ["orphan", "root"], "nth")  # orphans last
+    return out.select(F.format_string("PERSON%05d", "nth").alias("entity_key"), *[c for c in g.columns if c != "orphan"])
 
 
 def one_per_account(accounts: DataFrame) -> DataFrame:
@@ -215,12 +221,13 @@ def one_per_account(accounts: DataFrame) -> DataFrame:
 def resolve(records: DataFrame, cfg, accounts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(entities, account owners). An account of two people goes to the last of them."""
     r = store(prepared(records), "records")
-    m = store(matched(paired(blocking_pairs(r), r), cfg), "matches")
+    m = store(matched(paired(blocking_pairs(r, fields_only=True), r), cfg), "matches")
     green = green_clusters(r, m.where("tier = 'GREEN'"))
     clusters = store(yellow_merged(store(green, "green-clusters"), m.where("tier = 'YELLOW'"), r), "final-clusters")
     e = store(entities(r, clusters, m.where("tier in ('GREEN', 'YELLOW')"), accounts), "resolved")
     owners = e.select(F.explode("account_ids").alias("account_id"), "entity_key", "is_watchlisted", "has_unverified_link")
-    last = owners.groupBy("account_id").agg(F.max(F.struct("entity_key", "is_watchlisted", "has_unverified_link")).alias("o"))
+    number = F.substring("entity_key", len("PERSON") + 1, 20).cast("long")  # keys outgrow their padding
+    last = owners.groupBy("account_id").agg(F.max_by(F.struct("entity_key", "is_watchlisted", "has_unverified_link"), number).alias("o"))
     return e, last.select("account_id", "o.*")
 
 

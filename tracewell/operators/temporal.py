@@ -87,13 +87,18 @@ def circle_walks(txn: DataFrame, cfg) -> DataFrame:
 
 
 def maximal_sets(sets: DataFrame, items: str) -> DataFrame:
-    """Without the rows whose items are a proper subset of another row's items."""
-    tagged = sets.withColumn("__id", F.array_join(F.transform(F.array_sort(items), lambda x: x.cast("string")), ","))
-    each = store(tagged.select("__id", F.size(items).alias("n"), F.explode(items).alias("item")), "set-items")
-    big = each.select(F.col("__id").alias("b_id"), F.col("n").alias("b_n"), F.col("item").alias("b_item"))
-    meet = each.join(big, (F.col("item") == F.col("b_item")) & (F.col("n") < F.col("b_n")))
-    inside = meet.groupBy("__id", "b_id", "n").count().where("count = n").select("__id").distinct()
-    return tagged.join(inside, "__id", "left_anti").drop("__id")
+    """Without the rows whose items are a proper subset of another row's items.
+
+    A set can only lie inside sets that hold its rarest item, so each set asks under that one item alone.
+    """
+    ordered = F.array_sort(F.transform(items, lambda x: x.cast("string")))
+    tagged = sets.withColumns({"__set": ordered, "__id": F.array_join(ordered, ",")})
+    each = store(tagged.select("__id", "__set").distinct().select("__id", "__set", F.explode("__set").alias("item")), "set-items")
+    often = each.groupBy("item").agg(F.count("*").alias("often"))
+    rarest = each.join(often, "item").groupBy("__id", "__set").agg(F.min_by("item", F.struct("often", "item")).alias("item"))
+    big = each.select(F.col("__set").alias("b_set"), "item").where(F.size("b_set") > 0)
+    meet = rarest.join(big, "item").where((F.size("__set") < F.size("b_set")) & (F.size(F.array_except("__set", "b_set")) == 0))
+    return tagged.join(meet.select("__id").distinct(), "__id", "left_anti").drop("__id", "__set")
 
 
 def chains(link: DataFrame, cfg) -> DataFrame:

@@ -95,3 +95,9 @@ def append_new(df: DataFrame, spark: SparkSession, path: str, key: str, force: b
     if n:
         df.write.mode("overwrite" if force else "append").parquet(path)
     return n
+
+
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
