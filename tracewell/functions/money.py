@@ -65,6 +65,15 @@ def amount_band(amount: Column, edges: tuple[int, ...]) -> Column:
     return out
 
 
+# The bands' names, for six bands.
+BAND_NAMES = ("UNDER_10K", "10K_1L", "1L_5L", "5L_10L", "10L_50L", "50L_PLUS")
+
+
+def amount_band_name(amount: Column, edges: tuple[int, ...]) -> Column:
+    """The band's name; the last name stands for all above the last edge."""
+    return F.element_at(F.array(*[F.lit(n) for n in (*BAND_NAMES[: len(edges)], BAND_NAMES[-1])]), (amount_band(amount, edges) + 1).cast("int"))
+
+
 def hour_bucket(ts: Column) -> Column:
     """The hour of a time in epoch seconds, as text in UTC."""
     return F.date_format(F.timestamp_seconds(ts - ts % 3600), "yyyy-MM-dd HH:00")

@@ -68,7 +68,7 @@ for _v in ("ALL", "BANK_A", "BANK_B", "CONSORTIUM"):
 ORACLES["view_stats"] = f"WITH {T} " + " UNION ALL ".join(_STATS)
 ORACLES["degree_top5"] = f"""WITH {noded("ALL")}, e AS (SELECT DISTINCT u, v FROM n) SELECT node, count(*) AS degree FROM (SELECT u AS node FROM e UNION ALL SELECT v FROM e) GROUP BY node ORDER BY degree DESC, node LIMIT 5"""
 ORACLES["account_bank_map"] = f"WITH {T} SELECT account, max(bank) AS bank, min(bank) <> max(bank) AS conflict FROM (SELECT src AS account, src_bank AS bank FROM t UNION ALL SELECT dst, dst_bank FROM t) GROUP BY account"
-ORACLES["privacy_check"] = "SELECT 'u' AS u, 'v' AS v WHERE false"
+ORACLES["privacy_check"] = ORACLES["edge_aggregate_consortium"].join(("SELECT count(*) AS edges, CAST(count(*) FILTER (u NOT LIKE 'PSU_%' OR v NOT LIKE 'PSU_%') AS BIGINT) AS bad_ends FROM (", ")"))
 
 # --- names and resolution
 _first, _last = (f"[{', '.join(repr(x.capitalize()) for x in xs)}]" for xs in (FIRST, LAST))
@@ -97,15 +97,17 @@ p AS (SELECT a, b, x.tokens AS ta, y.tokens AS tb, x.stripped AS sa, y.stripped
   coalesce(x.pan <> y.pan, false) AS b1, coalesce(x.phone <> y.phone, false) AND coalesce(x.address <> y.address, false) AS b2, coalesce(x.phone <> y.phone, false) AS pc FROM cand JOIN r x ON x.record_id = a JOIN r y ON y.record_id = b),
 q AS (SELECT *, ta <> tb AND len(ta) >= 2 AND ta = list_reverse(tb) AS turned,
   len(ta) = len(tb) AND len(list_filter(range(1, len(ta) + 1), lambda i: ta[i] = tb[i] OR (length(ta[i]) = 1 AND starts_with(tb[i], ta[i])) OR (length(tb[i]) = 1 AND starts_with(ta[i], tb[i])))) = len(ta) AND len(list_filter(range(1, len(ta) + 1), lambda i: ta[i] <> tb[i])) > 0 AS initials FROM p),
-m AS (SELECT a, b, list_filter(['R0', 'R1', 'R2', 'R3', 'R4', 'R5', 'R6', 'R7', 'R8'], lambda x, i: [acc, pan, pho AND sa = sb AND NOT b2, adr AND sa = sb AND NOT pc AND NOT b2, pho AND adr, (pho OR adr OR pan) AND initials, (pho OR adr OR pan) AND turned, (pho OR adr OR pan) AND sa = sb, (pho OR adr OR pan) AND sa = sb AND ua = ub][i]) AS rl,
-  list_filter(['B1', 'B2', 'B3'], lambda x, i: [b1, b2, b1 AND adr][i]) AS bl,
-  CASE WHEN b1 THEN 'BLOCKED' WHEN acc OR pan OR (pho AND adr) OR (NOT b2 AND sa = sb AND (pho OR (adr AND NOT pc))) THEN 'GREEN' WHEN b2 THEN 'BLOCKED' WHEN (pho OR adr OR pan) AND (initials OR turned OR sa = sb) THEN 'YELLOW' ELSE 'NONE' END AS tier FROM q)"""
+m AS (SELECT a, b, tier, CASE tier WHEN 'GREEN' THEN gr WHEN 'YELLOW' THEN ye ELSE [] END AS rl, CASE WHEN b1 THEN 'B1_PAN_CONFLICT' WHEN tier = 'BLOCKED' THEN 'B2_NAME_ONLY_CONFLICT' END AS bl, b1 AND adr AS b3 FROM (SELECT *,
+  CASE WHEN b1 THEN 'BLOCKED' WHEN len(gr) > 0 THEN 'GREEN' WHEN b2 THEN 'BLOCKED' WHEN len(ye) > 0 THEN 'YELLOW' ELSE 'NONE' END AS tier FROM (SELECT *,
+  list_filter(['R0_same_account', 'R1_same_pan', 'R2_phone_and_name_sim', 'R3_address_and_name_sim', 'R4_phone_and_address'], lambda x, i: [acc, pan, pho AND sa = sb AND NOT b2, adr AND sa = sb AND NOT pc AND NOT b2, pho AND adr][i]) AS gr,
+  list_filter(['R5_initials', 'R6_reversed', 'R7_suffix_stripped', 'R8_soundex'], lambda x, i: [(pho OR adr OR pan) AND initials, (pho OR adr OR pan) AND turned, (pho OR adr OR pan) AND sa = sb, (pho OR adr OR pan) AND sa = sb AND ua = ub][i]) AS ye FROM q)))"""
 ORACLES["normalize_names"] = f"WITH {R} SELECT record_id, normalized, stripped FROM r"
 ORACLES["soundex_names"] = f"WITH {R} SELECT record_id, sound FROM r UNION ALL SELECT CAST(p_partkey AS VARCHAR), {sound('regexp_replace(p_name, ' + repr('[^A-Za-z]') + ', ' + repr('') + ', ' + repr('g') + ')')} FROM part"
 ORACLES["blocking_pairs"] = f"WITH {R} SELECT a, b FROM cand"
 ORACLES["initials_reversed_match"] = f"WITH {R} SELECT a, b, initials, turned FROM q"
-ORACLES["match_rules_without_similarity"] = f"WITH {R} SELECT a, b, tier, array_to_string(rl, ',') AS rules, array_to_string(bl, ',') AS blockers FROM m"
-ORACLES["match_counters"] = f"WITH {R} SELECT rule, count(*) AS n FROM (SELECT unnest(list_concat(rl, bl)) AS rule FROM m) GROUP BY rule"
+ORACLES["match_rules_without_similarity"] = f"WITH {R} SELECT a, b, tier, array_to_string(rl, ',') AS rules, bl AS blocker FROM m"
+ORACLES["match_counters"] = f"WITH {R} SELECT rule, count(*) AS n FROM (SELECT unnest(list_concat(rl, CASE WHEN bl IS NULL THEN [] ELSE [bl] END, CASE WHEN b3 THEN ['B3_SAME_ADDRESS'] ELSE [] END)) AS rule FROM m) GROUP BY rule"
+ORACLES["blocking_pairs_on_fields"] = f"WITH {R} SELECT DISTINCT x.record_id AS a, y.record_id AS b FROM keys x JOIN keys y ON x.key = y.key AND x.record_id < y.record_id WHERE x.key[1:4] IN ('acc:', 'pan:', 'pho:', 'adr:')"
 GREEN = "g AS (SELECT a AS u, b AS v FROM m WHERE tier = 'GREEN' UNION SELECT b, a FROM m WHERE tier = 'GREEN'), reach(node, root) AS (SELECT u, u FROM g UNION SELECT g.v, reach.root FROM reach JOIN g ON g.u = reach.node), comp AS (SELECT node AS record_id, min(root) AS root FROM reach GROUP BY node)"
 ORACLES["green_components"] = f"WITH RECURSIVE {R}, {GREEN} SELECT record_id, root FROM comp"
 
@@ -127,12 +129,21 @@ _TRIM = "rtrim(rtrim(format('{{:.2f}}', CAST(round(a / {0}, 2) AS DOUBLE)), '0')
 ORACLES["format_inr"] = f"""WITH o AS (SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) * (o_orderkey % 500) AS DECIMAL(20,2)) AS a FROM orders), d AS (SELECT *, CAST(floor(a) AS BIGINT) AS whole, CAST((a * 100) % 100 AS BIGINT) AS paise FROM o),
   i AS (SELECT *, 'Rs ' || {_GROUPED} || CASE WHEN paise > 0 THEN '.' || lpad(CAST(paise AS VARCHAR), 2, '0') ELSE '' END AS inr FROM d)
   SELECT o_orderkey, inr, CASE WHEN a >= 10000000 THEN 'Rs ' || {_TRIM.format("10000000")} || ' crore' WHEN a >= 100000 THEN 'Rs ' || {_TRIM.format("100000")} || ' lakh' ELSE inr END AS words FROM i"""
-_TENTHS = "CAST(((x * 10 + {0}) // {1}) // 10 AS VARCHAR) || '.' || CAST(((x * 10 + {0}) // {1}) % 10 AS VARCHAR)"
-ORACLES["durations_shares"] = f"""WITH {T}, d AS (SELECT txn_id, (ts % 200000) // 60 AS x, src FROM t) SELECT txn_id, CASE WHEN x < 120 THEN CAST(x AS VARCHAR) || ' minutes' WHEN x < 2880 THEN {_TENTHS.format(30, 60)} || ' hours' ELSE {_TENTHS.format(720, 1440)} || ' days' END AS duration,
+ORACLES["durations_shares"] = f"""WITH {T}, d AS (SELECT txn_id, (ts % 200000) // 60 AS x, src FROM t) SELECT txn_id, CASE WHEN x < 120 THEN CAST(x AS VARCHAR) || ' min' WHEN x < 2880 THEN format('{{:.1f}}', x / 60) || ' h' ELSE format('{{:.0f}}', x / 1440) || ' days' END AS duration,
   CAST(src // 10 AS VARCHAR) || '.' || CAST(src % 10 AS VARCHAR) || '%' AS share FROM d"""
+ORACLES["amount_band_names"] = """WITH o AS (SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) * (o_orderkey % 500) AS DECIMAL(20,2)) AS a FROM orders)
+  SELECT o_orderkey, CASE WHEN a <= 10000 THEN 'UNDER_10K' WHEN a <= 100000 THEN '10K_1L' WHEN a <= 500000 THEN '1L_5L' WHEN a <= 1000000 THEN '5L_10L' WHEN a <= 5000000 THEN '10L_50L' ELSE '50L_PLUS' END AS band FROM o"""
+ORACLES["indian_amounts"] = f"""WITH o AS (SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) * (o_orderkey % 500) AS DECIMAL(20,2)) AS a FROM orders), d AS (SELECT *, CAST(floor(a) AS BIGINT) AS whole, CAST((a * 100) % 100 AS BIGINT) AS paise FROM o),
+  i AS (SELECT *, 'Rs ' || {_GROUPED} || CASE WHEN paise > 0 THEN '.' || lpad(CAST(paise AS VARCHAR), 2, '0') ELSE '' END AS inr FROM d) SELECT o_orderkey, 'moved ' || inr || ' in ' || CAST(o_orderkey AS VARCHAR) || ' steps, then Rs 12,34,567 more' AS text FROM i"""
+ORACLES["extract_dates"] = """WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders), x AS (SELECT o_orderkey, list_sort(list_distinct([d, d + 3, d + CAST(o_orderkey % 3 AS INT)])) AS days FROM o)
+  SELECT o_orderkey, array_to_string(list_transform(days, lambda y: CAST(y AS VARCHAR)), ',') AS days FROM x"""
+ORACLES["typology_text"] = """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'Circular' WHEN event_id % 3 = 0 THEN 'Mule net' WHEN event_id % 5 = 0 THEN 'Structur' WHEN event_id % 7 = 0 THEN 'Rapid la' ELSE 'Unclassi' END AS kind, event_id % 2 = 0 OR event_id % 3 = 0 OR event_id % 5 = 0 OR event_id % 7 = 0 AS known FROM events"""
+ORACLES["circular_phrase"] = f"""WITH o AS (SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) * (o_orderkey % 500) AS DECIMAL(20,2)) AS a FROM orders), d AS (SELECT *, CAST(floor(a) AS BIGINT) AS whole, CAST((a * 100) % 100 AS BIGINT) AS paise FROM o),
+  i AS (SELECT *, 'Rs ' || {_GROUPED} || CASE WHEN paise > 0 THEN '.' || lpad(CAST(paise AS VARCHAR), 2, '0') ELSE '' END AS inr FROM d)
+  SELECT o_orderkey, inr || ' was cycled through ' || CAST(o_orderkey % 7 + 3 AS VARCHAR) || ' accounts, generating ' || inr || ' in total transaction volume' || CASE WHEN o_orderkey % 2 = 0 THEN ', with 91.5% of the principal returning to the originating account' ELSE '' END AS phrase FROM i"""
 ORACLES["amount_hour_buckets"] = f"WITH {T} SELECT CAST({BAND} AS BIGINT) AS band, {HOUR} AS hour, count(*) AS n FROM t GROUP BY 1, 2"
 ORACLES["text_mentions"] = """SELECT doc_id, len(list_distinct(regexp_extract_all(text, '[0-9]{3}-[0-9]{4}'))) AS numbers, len(list_distinct(regexp_extract_all(text, '\\b[0-9]{4}-[0-9]{2}-[0-9]{2}\\b'))) AS iso_dates,
-  regexp_matches(text, '(?i)\\b(?:closed loop|circular|round[- ]trip|came back to|returned to (?:its|the) origin)') AS loop_claim FROM documents"""
+  regexp_matches(text, '(?i)closed[- ]loop|\\bcircular\\b|round[- ]trip|cycled back|return(?:ed|ing) to (?:the |its )?(?:origin|originat)') AS loop_claim FROM documents"""
 
 # --- walks and detectors
 WALK = f"""walk AS (SELECT ts + {CFG.circle_window} AS lim, payer AS origin, payee AS holder, dst AS at, ts, amount, amount AS first_amount, 1 AS hops, txn_id AS path FROM t
@@ -172,7 +183,7 @@ ORACLES["signal_first_large"] = f"WITH {T}, f AS (SELECT *, row_number() OVER (P
 ORACLES["signal_new_account"] = f"WITH {T} SELECT payer AS person, txn_id, ts, channel FROM t WHERE payer % 17 = 0 AND dst * 37 % 1000 <= {CFG.signal_new_days}"
 ORACLES["signal_new_channel"] = f"WITH {T}, s AS (SELECT *, min(ts) OVER (PARTITION BY payer) AS b FROM t WHERE payer % 17 = 0) SELECT payer AS person, txn_id, ts, channel FROM s WHERE ts > b + {CFG.signal_baseline} AND NOT EXISTS (SELECT 1 FROM s o WHERE o.payer = s.payer AND o.channel = s.channel AND o.ts <= o.b + {CFG.signal_baseline})"
 ORACLES["pass_through_candidates"] = f"WITH {T}, {pairs(CFG.pass_window, str(CFG.pass_low), str(CFG.pass_high))} SELECT dst AS account, txn_id AS i_txn, n_txn AS o_txn, n_ts - ts AS delay FROM link"
-ORACLES["consortium_confirm"] = f"""WITH RECURSIVE {T}, t2 AS (SELECT * FROM t), {pairs(CFG.speed_link, "0.50", "1.50", "ll", "t2")}, link AS (SELECT * FROM ll WHERE ts < 1704585600), {CHAIN}, each AS (SELECT path, unnest(string_split(path, ',')) AS txn_id, generate_subscripts(string_split(path, ','), 1) AS pos FROM full_chain),
+ORACLES["consortium_confirm"] = f"""WITH RECURSIVE {T}, t2 AS (SELECT * FROM t), {pairs(CFG.speed_link, "0.50", "1.50", "ll", "t2")}, link AS (SELECT * FROM ll), {CHAIN}, each AS (SELECT path, unnest(string_split(path, ',')) AS txn_id, generate_subscripts(string_split(path, ','), 1) AS pos FROM full_chain),
   legs AS (SELECT each.path, pos, t.*, lag(t.ts) OVER w AS b_ts, lag(t.dst) OVER w AS b_dst, lag(t.amount) OVER w AS b_amount FROM each JOIN t USING (txn_id) WINDOW w AS (PARTITION BY each.path ORDER BY pos))
   SELECT path FROM legs GROUP BY path HAVING bool_and(b_ts IS NULL OR (src = b_dst AND ts > b_ts AND amount >= {CFG.circle_low} * b_amount AND amount <= {CFG.circle_high} * b_amount)) AND max(ts) - min(ts) <= {CFG.circle_window}"""
 
@@ -193,7 +204,7 @@ ORACLES["case_links"] = f"""WITH {T}, {CASES}, {CTX}, h AS (SELECT top.grp AS a,
   SELECT a AS case_id, b AS other_case, person, direction, CAST(amount AS DOUBLE) AS amount FROM h UNION ALL SELECT b, a, person, CASE WHEN direction = 'IN' THEN 'OUT' ELSE 'IN' END, CAST(amount AS DOUBLE) FROM h"""
 ORACLES["leads"] = f"WITH {T}, {CASES}, {CTX} SELECT person, count(DISTINCT grp) AS cases, count(DISTINCT txn_id) AS n_txns FROM ctx WHERE person NOT IN (SELECT person FROM core) GROUP BY person HAVING count(DISTINCT grp) >= 2"
 ORACLES["main_suspect"] = f"""WITH {T}, {CASES}, d AS (SELECT grp, CASE WHEN substr(grp, 12, 1) < '4' THEN 1 WHEN substr(grp, 12, 1) < '7' THEN 2 ELSE 3 END AS k FROM fi),
-  a AS (SELECT grp, payer AS p FROM (SELECT grp, payer, row_number() OVER (PARTITION BY grp ORDER BY count(DISTINCT payee) DESC, payer) AS i FROM ev GROUP BY grp, payer) WHERE i = 1), b AS (SELECT grp, payee AS p FROM (SELECT grp, payee, row_number() OVER (PARTITION BY grp ORDER BY count(DISTINCT payer) DESC, payee) AS i FROM ev GROUP BY grp, payee) WHERE i = 1),
+  a AS (SELECT grp, payer AS p FROM (SELECT grp, payer, row_number() OVER (PARTITION BY grp ORDER BY count(DISTINCT payee) DESC, min((ts, txn_id))) AS i FROM ev GROUP BY grp, payer) WHERE i = 1), b AS (SELECT grp, payee AS p FROM (SELECT grp, payee, row_number() OVER (PARTITION BY grp ORDER BY count(*) DESC, min((ts, txn_id))) AS i FROM ev GROUP BY grp, payee) WHERE i = 1),
   f AS (SELECT grp, arg_min(payer, (ts, txn_id)) AS p FROM ev GROUP BY grp) SELECT d.grp AS case_id, CASE k WHEN 1 THEN a.p WHEN 2 THEN b.p ELSE f.p END AS suspect FROM d JOIN a USING (grp) JOIN b USING (grp) JOIN f USING (grp)"""
 
 # --- lens, history, scores
@@ -209,19 +220,31 @@ sg AS (SELECT grp AS "group", transfers, accounts, fresh, persons, multi, contac
 ORACLES["lens_signals"] = f"WITH {T}, {CASES}, {PEOPLE}, {FC}, {BASE}, {LENS} SELECT * FROM sn"
 ORACLES["lens_summary"] = f"WITH {T}, {CASES}, {PEOPLE}, {FC}, {BASE}, {LENS} SELECT count(*) AS groups, avg(n_signals) AS mean_signals, avg(CASE WHEN n_signals >= 2 THEN 1 ELSE 0 END) AS two_or_more, " + ", ".join(f"avg(CAST({r} AS INT)) AS {r}_rate" for r in ("r1", "r2", "r3", "r4", "r5")) + " FROM sn"
 ORACLES["account_history"] = f"""WITH {T}, tc AS (SELECT src AS account, dst AS other, true AS s, * FROM t UNION ALL SELECT dst, src, false, * FROM t), h AS (SELECT account, count(*) FILTER (s) AS n_out, count(*) FILTER (NOT s) AS n_in, CAST(coalesce(sum(amount) FILTER (s), 0) AS DOUBLE) AS total_out, CAST(coalesce(sum(amount) FILTER (NOT s), 0) AS DOUBLE) AS total_in, count(DISTINCT other) AS counterparties, min(ts) AS first_ts, max(ts) AS last_ts FROM tc GROUP BY account),
-  f AS (SELECT account, min(d) AS fastest_s FROM (SELECT a.txn_id, a.dst AS account, min(b.ts) - a.ts AS d FROM t a JOIN t b ON b.src = a.dst AND b.ts BETWEEN a.ts AND a.ts + 86400 AND b.amount >= 0.5 * a.amount AND b.txn_id <> a.txn_id GROUP BY a.txn_id, a.dst, a.ts) GROUP BY account) SELECT h.*, fastest_s FROM h LEFT JOIN f USING (account)"""
+  f AS (SELECT account, min(d) AS fastest_s FROM (SELECT a.txn_id, a.dst AS account, min(b.ts) - a.ts AS d FROM t a JOIN t b ON b.src = a.dst AND b.ts >= a.ts AND b.amount >= 0.5 * a.amount GROUP BY a.txn_id, a.dst, a.ts) GROUP BY account) SELECT h.*, fastest_s FROM h LEFT JOIN f USING (account)"""
 ORACLES["neighbourhood_top8"] = f"WITH {T}, b AS (SELECT payer AS person, payee AS other, amount FROM t WHERE payer <> payee UNION ALL SELECT payee, payer, amount FROM t WHERE payer <> payee), g AS (SELECT person, other, count(*) AS n, sum(amount) AS v, row_number() OVER (PARTITION BY person ORDER BY sum(amount) DESC, other) AS rank FROM b GROUP BY person, other) SELECT person, other, n, CAST(v AS DOUBLE) AS volume, rank FROM g WHERE rank <= 8"
 ORACLES["bank_visibility"] = f"WITH {T}, {CASES}, s AS (SELECT grp, src_bank = 'BANK_A' OR dst_bank = 'BANK_A' AS a, src_bank = 'BANK_B' OR dst_bank = 'BANK_B' AS b FROM ev) SELECT grp AS \"group\", count(*) AS transfers, count(*) FILTER (a) AS seen_a, count(*) FILTER (b) AS seen_b, count(*) FILTER (a AND b) AS both FROM s GROUP BY grp"
 ORACLES["median_account_age"] = f"WITH {T}, {ACC} SELECT CAST(median(age) AS DOUBLE) AS median_age_days FROM acc"
 TRUTH = "truth AS (SELECT txn_id, 'RING' || CAST(txn_id AS BIGINT) % 5 AS ring_id FROM t WHERE CAST(txn_id AS BIGINT) % 3 = 0)"
+#: Three rings in four hold few transfers each, so that findings can catch them.
+TRUTH2 = "truth AS (SELECT txn_id, 'RING' || CAST(txn_id AS BIGINT) // 3 AS ring_id FROM t WHERE CAST(txn_id AS BIGINT) % 4 < 3)"
 ORACLES["detector_score"] = f"WITH {T}, {CASES}, {TRUTH}, p AS (SELECT grp, 2 * count(ring_id) >= count(*) AS hit FROM ev LEFT JOIN truth USING (txn_id) GROUP BY grp) SELECT 'SPEED' AS detector, count(*) AS findings, count(*) FILTER (hit) AS true, count(*) FILTER (NOT hit) AS false FROM p"
 ORACLES["ring_cover"] = f"WITH {T}, {CASES}, {TRUTH}, s AS (SELECT ring_id, count(*) AS size FROM truth GROUP BY ring_id), h AS (SELECT ring_id, max(n) AS n FROM (SELECT ring_id, grp, count(*) AS n FROM ev JOIN truth USING (txn_id) GROUP BY ALL) GROUP BY ring_id) SELECT ring_id, size, coalesce(n, 0) / size AS best_cover, 2 * coalesce(n, 0) >= size AS caught FROM s LEFT JOIN h USING (ring_id)"
-ORACLES["case_score"] = f"WITH {T}, {CASES}, {TRUTH}, a AS (SELECT grp, count(*) AS n FROM ev GROUP BY grp), b AS (SELECT * FROM (SELECT grp, ring_id, count(*) AS k, row_number() OVER (PARTITION BY grp ORDER BY count(*) DESC, ring_id) AS i FROM ev JOIN truth USING (txn_id) GROUP BY grp, ring_id) WHERE i = 1) SELECT grp AS case_id, ring_id, coalesce(k, 0) / n AS purity FROM a LEFT JOIN b USING (grp)"
+ORACLES["case_score"] = f"WITH {T}, {CASES}, {TRUTH}, a AS (SELECT grp, count(*) AS n FROM ev GROUP BY grp), b AS (SELECT * FROM (SELECT grp, ring_id, count(*) AS k, count(*) OVER (PARTITION BY grp) AS rings, row_number() OVER (PARTITION BY grp ORDER BY count(*) DESC, ring_id) AS i FROM ev JOIN truth USING (txn_id) GROUP BY grp, ring_id) WHERE i = 1) SELECT grp AS case_id, ring_id, coalesce(k, 0) / n AS purity, coalesce(rings, 0) AS rings FROM a LEFT JOIN b USING (grp)"
+CAUGHT = "size AS (SELECT ring_id, count(*) AS size FROM truth GROUP BY ring_id), hit AS (SELECT grp, ring_id, count(*) AS n FROM ev JOIN truth USING (txn_id) GROUP BY ALL), caught AS (SELECT DISTINCT ring_id FROM hit JOIN size USING (ring_id) WHERE 2 * n >= size)"
+ORACLES["ring_cases"] = f"WITH {T}, {CASES}, {TRUTH2}, {CAUGHT} SELECT ring_id, count(n) AS cases, coalesce(max(n), 0) / any_value(size) AS best_cover, ring_id IN (SELECT ring_id FROM caught) AS caught, ring_id IN (SELECT ring_id FROM caught) AND 2 * coalesce(max(n), 0) >= any_value(size) AS covered FROM size LEFT JOIN hit USING (ring_id) GROUP BY ring_id"
+ORACLES["catching_detectors"] = f"WITH {T}, {CASES}, {TRUTH2}, {CAUGHT} SELECT ring_id, 'SPEED' AS detector FROM caught"
+ORACLES["accused_precision"] = f"WITH {T}, {CASES}, {TRUTH}, mem AS (SELECT unnest([payer, payee]) AS person FROM t JOIN truth USING (txn_id)), j AS (SELECT person IN (SELECT person FROM mem) AS ok FROM core) SELECT count(*) AS accused, count(*) FILTER (ok) AS members, count(*) FILTER (ok) / count(*) AS precision FROM j"
+ORACLES["items_allowed"] = f"""WITH {T}, {CASES}, {ACC}, {CTX}, {NEAR.format(pad=CFG.support_pad).replace('pin AS', 'pin2 AS')}, ids AS (SELECT grp, grp AS x FROM fi UNION SELECT grp, txn_id FROM ev UNION SELECT grp, CAST(src AS VARCHAR) FROM ev UNION SELECT grp, CAST(dst AS VARCHAR) FROM ev UNION SELECT grp, CAST(person AS VARCHAR) FROM core UNION SELECT grp, CAST(person AS VARCHAR) FROM top
+  UNION SELECT grp, CAST(account AS VARCHAR) FROM (SELECT grp, person FROM core UNION SELECT grp, person FROM top) JOIN acc USING (person) UNION SELECT grp, txn_id FROM pin2 WHERE pc AND qc AND NOT EXISTS (SELECT 1 FROM ev WHERE ev.grp = pin2.grp AND ev.txn_id = pin2.txn_id)
+  UNION SELECT ctx.grp, ctx.txn_id FROM ctx JOIN top ON top.grp = ctx.grp AND top.direction = ctx.direction AND top.person = ctx.person UNION SELECT grp, 'SPEED' FROM fi) SELECT grp AS id, count(*) AS n, md5(string_agg(x, ',' ORDER BY x)) AS digest FROM ids GROUP BY grp"""
 
 # --- evidence
-ORACLES["fact_check_counts"] = f"""WITH {T}, {CASES}, x AS (SELECT grp, t1, CASE WHEN substr(t1, 12, 1) < '5' THEN '000000000000' ELSE t2 END AS o, t2, CASE WHEN substr(t2, 12, 1) < '5' THEN 1 ELSE 0 END AS claim FROM fi),
-  y AS (SELECT grp, CASE WHEN o = t1 THEN 1 ELSE 2 END + claim AS checked, CASE WHEN o <> t1 AND o <> t2 THEN 1 ELSE 0 END + claim AS failed FROM x) SELECT grp AS case_id, CAST(checked AS BIGINT) AS checked, CAST(greatest(checked - failed, 0) AS BIGINT) AS passed, CAST(failed AS BIGINT) AS failed FROM y"""
-ORACLES["decision_guards"] = """WITH d AS (SELECT event_id AS n, ['CASE', 'WATCHLIST_REVIEW', 'LEAD'][CAST(event_id % 3 + 1 AS INT)] AS kind, ['FILE_STR', 'MONITOR', 'CLOSE', 'ESCALATE'][CAST((event_id // 3) % 4 + 1 AS INT)] AS decision, ['PASS', 'REJECT', 'NOT_VERIFIED'][CAST((event_id // 7) % 3 + 1 AS INT)] AS verdict FROM events)
-  SELECT n AS item, concat_ws(', ', CASE WHEN NOT ((kind = 'CASE' AND decision <> 'ESCALATE') OR (kind <> 'CASE' AND decision <> 'FILE_STR')) THEN 'decision not allowed' END, CASE WHEN n % 4 < 2 THEN 'too little evidence read' END, CASE WHEN decision = 'FILE_STR' AND n % 5 = 0 THEN 'nothing written' END,
-  CASE WHEN decision = 'FILE_STR' AND verdict = 'REJECT' THEN 'rejected' END, CASE WHEN n % 6 = 0 THEN 'nothing cited' END, CASE WHEN n % 6 <> 0 AND n % 3 = 2 THEN 'unknown citation' END) AS failures FROM d"""
+_INR = "'Rs ' || CAST(floor(a) AS BIGINT) || CASE WHEN (a * 100) % 100 > 0 THEN '.' || lpad(CAST(CAST((a * 100) % 100 AS BIGINT) AS VARCHAR), 2, '0') ELSE '' END"
+ORACLES["fact_check_counts"] = f"""WITH {T}, {CASES}, x AS (SELECT grp, t1, t2, CASE WHEN substr(t1, 12, 1) < '5' THEN '000000000000' ELSE t2 END AS o, substr(t2, 12, 1) < '5' AS claim, substr(t1, 12, 1) IN ('1', '4', '7') AS odd_amount, substr(t2, 12, 1) IN ('2', '5', '8') AS odd_day FROM fi),
+  y AS (SELECT grp, CASE WHEN o = t1 THEN 1 ELSE 2 END AS ids, CASE WHEN o <> t1 AND o <> t2 THEN 1 ELSE 0 END AS bad_ids, 1 + CAST(odd_amount AS INT) AS amounts, CAST(odd_amount AS INT) AS bad_amounts, 1 + CAST(odd_day AS INT) AS days, CAST(odd_day AS INT) AS bad_days, CAST(claim AS INT) AS bad_claims FROM x)
+  SELECT grp AS case_id, CAST(ids + amounts + days + 1 AS BIGINT) AS checked, CAST(ids + amounts + days + 1 - bad_ids - bad_amounts - bad_days - bad_claims AS BIGINT) AS passed, CAST(bad_ids + bad_amounts + bad_days + bad_claims AS BIGINT) AS failed FROM y"""
+ORACLES["decision_guards"] = """WITH d AS (SELECT event_id AS n, ['CASE', 'WATCHLIST_REVIEW', 'LEAD'][CAST(event_id % 3 + 1 AS INT)] AS kind, ['FILE_STR', 'ESCALATE', 'MONITOR', 'CLOSE_RECOMMENDED', 'ESCALATE_AS_LEAD'][CAST((event_id // 3) % 5 + 1 AS INT)] AS decision, ['PASS', 'REJECT', 'NOT_VERIFIED'][CAST((event_id // 7) % 3 + 1 AS INT)] AS verdict FROM events)
+  SELECT n AS item, concat_ws(', ', CASE WHEN NOT ((kind = 'CASE' AND decision IN ('FILE_STR', 'ESCALATE', 'MONITOR')) OR (kind = 'WATCHLIST_REVIEW' AND decision IN ('ESCALATE', 'MONITOR', 'CLOSE_RECOMMENDED')) OR (kind = 'LEAD' AND decision IN ('ESCALATE_AS_LEAD', 'MONITOR', 'CLOSE_RECOMMENDED'))) THEN 'decision not allowed' END,
+  CASE WHEN n % 4 < 2 THEN 'too little evidence read' END, CASE WHEN kind = 'CASE' AND decision = 'FILE_STR' AND n % 5 = 0 THEN 'nothing written' END, CASE WHEN kind = 'CASE' AND decision = 'FILE_STR' AND n % 5 <> 0 AND verdict = 'REJECT' THEN 'rejected' END, CASE WHEN n % 6 = 0 THEN 'nothing cited' END,
+  CASE WHEN n % 11 = 3 THEN 'amount not shown' END, CASE WHEN n % 13 = 4 AND NOT (kind = 'CASE' AND n % 2 = 0) THEN 'method not proved' END, CASE WHEN (n % 6 <> 0 AND n % 3 = 2) OR n % 17 = 5 THEN 'unknown citation' END) AS failures FROM d"""
 ORACLES["latest_decision"] = "SELECT user_id AS case_id, event_type AS decision, CAST(floor(epoch(ts)) AS BIGINT) AS ts, event_id AS seq FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)) DESC, event_id DESC) AS i FROM events) WHERE i = 1"

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.config import SCALED as CFG
+from tracewell.config import Config
 from tracewell.functions import evidence_text, money, names
-from tracewell.operators import cases, consortium, detectors, evidence, history, lens, resolution, scoring, temporal, views
+from tracewell.operators import cases, consortium, detectors, evidence, history, investigation, lens, resolution, scoring, temporal, views
 from tracewell.operators.components import components
 from tracewell.sources import adapters
 from tracewell.storage import store
@@ -103,9 +104,11 @@ def account_bank_map(spark, sf):
 
 @query
 def privacy_check(spark, sf):
-    """One row to a consortium edge end that is no pseudonym: none."""
-    e = views.consortium_edges(_noded(spark, sf, "CONSORTIUM")[1], CFG, SALT)
-    return e.where(~F.col("u").rlike("^PSU_[0-9a-f]{16}$") | ~F.col("v").rlike("^PSU_[0-9a-f]{16}$")).select("u", "v")
+    """The consortium's edges, and how many have an end that is no pseudonym; forbidden columns are an error."""
+    e = store(views.consortium_edges(_noded(spark, sf, "CONSORTIUM")[1], CFG, SALT), "consortium-edges")
+    if bad := views.leaks(e):
+        raise ValueError(f"the consortium's table would show {bad}")
+    return e.agg(F.count("*").alias("edges"), F.count_if(~F.col("u").rlike("^PSU_[0-9a-f]{16}$") | ~F.col("v").rlike("^PSU_[0-9a-f]{16}$")).alias("bad_ends"))
 
 
 # --- scalar functions -----------------------------------------------------------------------------------------------------
@@ -139,6 +142,50 @@ def format_inr(spark, sf):
     return o.select("o_orderkey", money.format_inr(amount).alias("inr"), money.inr_words(amount).alias("words"))
 
 
+def _order_amounts(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    return o, (F.col("o_totalprice").cast("decimal(18,2)") * (F.col("o_orderkey") % 500)).cast("decimal(20,2)")
+
+
+@query
+def amount_band_names(spark, sf):
+    o, amount = _order_amounts(spark, sf)
+    return o.select("o_orderkey", money.amount_band_name(amount, Config().band_edges).alias("band"))
+
+
+@query
+def indian_amounts(spark, sf):
+    """Amounts in the western grouping within a sentence, rewritten."""
+    o, amount = _order_amounts(spark, sf)
+    text = F.concat(F.lit("moved Rs "), F.format_number(amount, 2), F.lit(" in "), F.col("o_orderkey").cast("string"), F.lit(" steps, then Rs 1,234,567 more"))
+    return o.select("o_orderkey", evidence_text.indian_amounts(text).alias("text"))
+
+
+@query
+def circular_phrase(spark, sf):
+    o, amount = _order_amounts(spark, sf)
+    said = money.format_inr(amount)
+    return o.select("o_orderkey", evidence_text.circular_phrase(said, said, F.when(F.col("o_orderkey") % 2 == 0, "91.5%"), F.col("o_orderkey") % 7 + 3).alias("phrase"))
+
+
+@query
+def typology_text(spark, sf):
+    n = F.col("event_id")
+    fired = F.filter(F.array(*[F.when(n % k == 0, F.lit(d)) for k, d in ((2, "CIRCLE"), (3, "SPRAY"), (5, "THRESHOLD"), (7, "SPEED"))], F.lit("DORMANT_REACTIVATION")), lambda x: x.isNotNull())
+    text = evidence_text.typology(fired)
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.substring(text, 1, 8).alias("kind"), (~text.startswith("Unclassified")).alias("known"))
+
+
+@query
+def extract_dates(spark, sf):
+    """Dates in three written forms, in any case, with days that do not exist among them."""
+    o, day = spark.read.parquet(f"{sf}/orders.parquet"), F.col("o_orderdate").cast("date")
+    other = F.date_format(F.date_add(day, 3), "MMMM d yyyy")
+    near = F.date_add(day, (F.col("o_orderkey") % 3).cast("int")).cast("string")
+    text = F.concat(F.lit("On "), F.upper(F.date_format(day, "d MMMM yyyy")), F.lit(" and "), F.when(F.col("o_orderkey") % 2 == 0, other).otherwise(F.regexp_replace(other, r"( \d{4})$", ",$1")), F.lit(", not 1995-02-30 or 31 June 1996, but "), near, F.lit("."))
+    return o.select("o_orderkey", F.array_join(F.transform(evidence_text.dates(text), lambda d: d.cast("string")), ",").alias("days"))
+
+
 @query
 def durations_shares(spark, sf):
     t = adapters.transfers(spark, sf)
@@ -166,6 +213,12 @@ def blocking_pairs(spark, sf):
     return resolution.blocking_pairs(store(_records(spark, sf), "records"))
 
 
+@query
+def blocking_pairs_on_fields(spark, sf):
+    """The candidates that resolution itself needs."""
+    return resolution.blocking_pairs(store(_records(spark, sf), "records"), fields_only=True)
+
+
 def _matched(spark, sf, similarity=False):
     r = store(_records(spark, sf), "records")
     return r, resolution.matched(resolution.paired(resolution.blocking_pairs(r), r), CFG, similarity)
@@ -173,18 +226,17 @@ def _matched(spark, sf, similarity=False):
 
 @query
 def match_rules_without_similarity(spark, sf):
-    return _matched(spark, sf)[1].select("a", "b", "tier", joined("rules"), joined("blockers"))
+    return _matched(spark, sf)[1].select("a", "b", "tier", joined("rules"), "blocker")
 
 
 @query
 def match_rules(spark, sf):
-    return _matched(spark, sf, True)[1].select("a", "b", "tier", joined("rules"), joined("blockers"))
+    return _matched(spark, sf, True)[1].select("a", "b", "tier", joined("rules"), "blocker")
 
 
 @query
 def match_counters(spark, sf):
-    m = _matched(spark, sf)[1]
-    return m.select(F.explode(F.concat("rules", "blockers")).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+    return resolution.counters(_matched(spark, sf)[1]).withColumnRenamed("name", "rule")
 
 
 @query
@@ -506,7 +558,7 @@ def lens_control(spark, sf):
 @query
 def account_history(spark, sf):
     t = adapters.transfers(spark, sf)
-    h = history.account_history(t).join(history.fastest_forward(t, 24 * 3600), "account", "left")
+    h = history.account_history(t).join(history.fastest_forward(t), "account", "left")
     return h.select("account", "n_out", "n_in", double("total_out"), double("total_in"), "counterparties", "first_ts", "last_ts", "fastest_s")
 
 
@@ -543,6 +595,30 @@ def ring_cover(spark, sf):
     return scoring.ring_cover(f, _truth(b.txn))
 
 
+def _small_rings(txn):
+    n = F.col("txn_id").cast("long")
+    return txn.where(n % 4 < 3).select("txn_id", F.concat(F.lit("RING"), F.floor(n / 3).cast("string")).alias("ring_id"))
+
+
+@query
+def catching_detectors(spark, sf):
+    b, f, _, _, _ = _cases(spark, sf)
+    return scoring.catching_detectors(f, _small_rings(b.txn), ["SPEED"])
+
+
+@query
+def ring_cases(spark, sf):
+    b, f, _, ev, _ = _cases(spark, sf)
+    truth = _small_rings(b.txn)
+    return scoring.ring_cases(ev.select(F.col("group").alias("case_id"), "txn_id"), truth, scoring.catching_detectors(f, truth, ["SPEED"]))
+
+
+@query
+def accused_precision(spark, sf):
+    b, _, c, _, _ = _cases(spark, sf)
+    return scoring.accused_precision(c.withColumn("case_id", F.col("group")), b.txn, _truth(b.txn))
+
+
 @query
 def case_score(spark, sf):
     b, _, _, ev, _ = _cases(spark, sf)
@@ -554,14 +630,23 @@ def case_score(spark, sf):
 
 @query
 def fact_check_counts(spark, sf):
-    """Distinct transfer numbers named in made-up narratives, and those that the packet lacks."""
+    """Made-up narratives with right and wrong transfers, amounts, dates and claims against each case's packet."""
     _, f, _, ev, _ = _cases(spark, sf)
-    packet = ev.groupBy(F.col("group").alias("case_id")).agg(F.collect_set("txn_id").alias("allowed_ids"), F.to_date(F.timestamp_seconds(F.min("ts"))).alias("first_day"), F.to_date(F.timestamp_seconds(F.max("ts"))).alias("last_day"))
-    packet = packet.select("*", F.array(F.lit("SPEED")).alias("detectors"), F.array().cast("array<string>").alias("allowed_amounts"))
+    none, day = F.array().cast("array<string>"), lambda c: F.timestamp_seconds(c).cast("date")
+    written = F.array_distinct(F.flatten(F.collect_list(F.array(evidence_text.money_key(money.format_inr(F.col("amount"))), evidence_text.money_key(money.inr_words(F.col("amount")))))))
+    ends = F.array_distinct(F.flatten(F.collect_list(F.array(F.col("src").cast("string"), F.col("dst").cast("string")))))
+    packet = ev.groupBy(F.col("group").alias("case_id")).agg(F.collect_set("txn_id").alias("allowed_txns"), ends.alias("allowed_accounts"), written.alias("allowed_amounts"), day(F.min("ts")).alias("first_day"), day(F.max("ts")).alias("last_day"), F.min_by("amount", F.struct("ts", "txn_id")).alias("first_amount"), F.min("ts").alias("first_ts"))
+    packet = store(packet.select("*", F.array(F.lit("SPEED")).alias("detectors"), none.alias("allowed_people"), F.lit(None).cast("string").alias("cycled_digits"), F.lit(None).cast("string").alias("cycled_words")), "small-packets")
     a, b = F.element_at("txn_ids", 1), F.element_at("txn_ids", 2)
-    other = F.when(F.substring(a, 12, 1) < "5", F.lit("000000000000")).otherwise(b)
-    text = f.select(F.col("finding_id").alias("case_id"), F.concat_ws(" ", F.lit("Money moved in"), a, F.lit("and"), other, F.lit("then"), a, F.when(F.substring(b, 12, 1) < "5", F.lit("in a closed loop."))).alias("text"))
-    return evidence.fact_check(text, packet, (r"\d{12}",)).select("case_id", long("checked"), long("passed"), F.size("failures").cast("long").alias("failed"))
+    last = lambda c: F.substring(c, 12, 1)
+    other = F.when(last(a) < "5", F.lit("000000000000")).otherwise(b)
+    j = f.join(packet.select(F.col("case_id").alias("finding_id"), "first_amount", "first_ts"), "finding_id")
+    text = F.concat_ws(
+        " ", F.lit("Money moved in"), a, F.lit("and"), other, F.lit("then"), a, F.when(last(b) < "5", F.lit("in a closed loop")), F.lit("worth"), money.format_inr(F.col("first_amount")), F.when(last(a).isin("1", "4", "7"), F.lit("or INR 9,99,999")),
+        F.lit("on"), day(F.col("first_ts")).cast("string"), F.when(last(b).isin("2", "5", "8"), F.lit("not 3 march 1999")), F.lit("."),
+    )
+    said = j.select(F.col("finding_id").alias("case_id"), F.lit("").alias("summary"), text.alias("text"))
+    return evidence.fact_check(said, packet, transaction=r"\b\d{12}\b").select("case_id", long("checked"), long("passed"), F.size("failures").cast("long").alias("failed"))
 
 
 @query
@@ -569,11 +654,14 @@ def decision_guards(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet")
     n = F.col("event_id")
     pick = lambda m, *v: F.element_at(F.array(*map(F.lit, v)), (m % len(v) + 1).cast("int"))
+    none = F.array().cast("array<string>")
+    reason = F.concat_ws(" ", F.lit("Rs 5,000 moved"), F.when(n % 11 == 3, F.lit("and Rs 5,001 more")), F.when(n % 13 == 4, F.lit("round-trip")))
     d = e.select(
-        n.alias("item"), pick(n, "CASE", "WATCHLIST_REVIEW", "LEAD").alias("kind"), pick(F.floor(n / 3), "FILE_STR", "MONITOR", "CLOSE", "ESCALATE").alias("decision"), (n % 4).alias("evidence_calls"), (n % 5 > 0).alias("written"),
-        pick(F.floor(n / 7), "PASS", "REJECT", "NOT_VERIFIED").alias("verdict"), F.transform(F.sequence(F.lit(1), (n % 3 + 1).cast("int")), lambda i: (n + i).cast("string")).alias("c3"), n,
+        n.alias("item"), pick(n, "CASE", "WATCHLIST_REVIEW", "LEAD").alias("kind"), pick(F.floor(n / 3), "FILE_STR", "ESCALATE", "MONITOR", "CLOSE_RECOMMENDED", "ESCALATE_AS_LEAD").alias("decision"), (n % 4).alias("evidence_calls"), (n % 5 > 0).alias("written"),
+        pick(F.floor(n / 7), "PASS", "REJECT", "NOT_VERIFIED").alias("verdict"), F.transform(F.sequence(F.lit(1), (n % 3 + 1).cast("int")), lambda i: (n + i).cast("string")).alias("c3"), n, reason.alias("reason"),
+        F.array(F.lit("Rs 5,000")).alias("shown_amounts"), F.when(n % 2 == 0, F.array(F.lit("CIRCLE"))).otherwise(none).alias("detectors"), F.when(n % 17 == 5, F.array(F.lit("C999"))).otherwise(none).alias("linked"), F.array(F.lit("C001")).alias("known_cases"),
     )
-    cited = F.when(n % 6 == 0, F.array().cast("array<string>")).otherwise(F.col("c3"))
+    cited = F.when(n % 6 == 0, none).otherwise(F.col("c3"))
     d = d.withColumn("cited", cited).withColumn("allowed_ids", F.array((n + 1).cast("string"), (n + 2).cast("string")))
     return d.select("item", F.array_join(evidence.guard_failures(), ", ").alias("failures"))
 
@@ -589,6 +677,23 @@ def evidence_packets(spark, sf):
     """Packets of the swarm's cases, with template narratives and their checks."""
     b = _bank(spark, sf)
     f = store(detectors.findings(detectors.run_detectors(b, CFG), b.txn, detectors.watched(b.people)), "findings")
-    p = store(evidence.packets(cases.build(f, b.txn, b.people, CFG)), "packets")
-    text = evidence.template_narrative(p)
-    return text.join(evidence.fact_check(text, p, (r"\b\d{12}\b",)), "case_id").select("case_id", "text", "confidence", long("checked"), long("passed"))
+    p = store(evidence.packets(cases.build(f, b.txn, b.people, CFG), b.txn, b.accounts), "packets")
+    text = store(evidence.template_narrative(p), "narratives")
+    return text.join(evidence.fact_check(text, p, transaction=r"\b\d{12}\b"), "case_id").select("case_id", "text", "confidence", long("checked"), long("passed"))
+
+
+@query
+def items_allowed(spark, sf):
+    """What each case may cite, as a count and a digest."""
+    b, f, c, ev, span = _cases(spark, sf)
+    ctx = cases.context(c, span, b.txn, CFG)
+    top = store(cases.context_people(ctx, CFG), "top")
+    named = lambda df: df.withColumn("case_id", F.col("group"))
+    own = f.select(F.col("finding_id").alias("case_id"), F.array().cast("array<string>").alias("finding_ids"), F.array("detector").alias("detectors"), F.col("txn_ids").alias("evidence_ids"))
+    built = {
+        "cases": own, "core": named(c), "context_people": named(top), "context": named(ctx.join(top.select("group", "direction", "person"), ["group", "direction", "person"], "left_semi")), "supporting": named(cases.supporting(c, span, ev, b.txn, CFG)),
+        "links": own.select("case_id", F.lit("").alias("other_case")).limit(0), "review": own.select(F.col("case_id").alias("finding_id"), F.col("evidence_ids").alias("txn_ids"), F.array().cast("array<string>").alias("people")).limit(0),
+    }
+    none = b.txn.select(F.lit("").alias("id"), F.lit("").alias("person"), F.lit(0).alias("cases"), F.array("txn_id").alias("txn_ids")).limit(0)
+    out = investigation.allowed_ids(investigation.items(built, none), built, b.txn, b.accounts)
+    return out.select("id", F.size("allowed").cast("long").alias("n"), F.md5(F.array_join("allowed", ",").cast("binary")).alias("digest"))
