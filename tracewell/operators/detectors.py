@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -255,10 +257,12 @@ def run_detectors(b, cfg, watch: DataFrame | None = None) -> DataFrame:
     """All detectors over one bank. watch replaces the watchlist, as for the blind re-run."""
     watch = store(watched(b.people) if watch is None else watch, "watchlist")
     txn = store(with_watch(b.txn, watch), "tagged")
-    parts = [
-        circle(txn, cfg), spray(txn, watch, cfg), speed(txn, watch, cfg), threshold(txn, watch, cfg), watchlist_signals(txn, b.accounts, watch, cfg),
-        dormant(txn, b.accounts, watch, cfg), pass_through(txn, watch, cfg), round_clustering(txn, watch, cfg),
+    makers = [
+        lambda: circle(txn, cfg), lambda: spray(txn, watch, cfg), lambda: speed(txn, watch, cfg), lambda: threshold(txn, watch, cfg), lambda: watchlist_signals(txn, b.accounts, watch, cfg),
+        lambda: dormant(txn, b.accounts, watch, cfg), lambda: pass_through(txn, watch, cfg), lambda: round_clustering(txn, watch, cfg),
     ]
+    with ThreadPoolExecutor(len(makers)) as pool:  # the small steps of independent detectors fill each other's gaps
+        parts = list(pool.map(lambda make: make(), makers))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
