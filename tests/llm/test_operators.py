@@ -376,3 +376,143 @@ def test_odd_rows_and_empty_tables(spark, odd, name):
     n = OPERATORS[name](clashing).count()
     assert n == (2 if name == "passages" else len(ODD)) or name == "passages" and n >= 2
     assert OPERATORS[name](odd.limit(0)).count() == 0
+
+
+# --- restatements in plain Python -------------------------------------------------------------------------------------
+
+
+def test_classifier_restated(spark, small):
+    """The trained model's score from compressed sizes taken by hand, and its calibration on held-out labels."""
+    import zstandard
+
+    docs, labels = table(spark, MIDDLE, "documents"), table(spark, MIDDLE, "labels")
+    model = quality_classifier.train(docs, labels)
+
+    def size(text, dictionary):
+        kind = zstandard.DICT_TYPE_FULLDICT if dictionary[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT
+        c = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=kind), write_content_size=False, write_dict_id=False)
+        return sum(len(c.compress(text[i : i + 1024])) for i in range(0, max(1, len(text)), 1024))
+
+    rows = {r.doc_id: r.score for r in quality_classifier.classify(docs, model).collect()}
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    for i in sorted(texts)[:150]:
+        g, b = (size(texts[i], d) for d in model.dictionaries)
+        assert rows[i] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, model.curve[0] * (b - g) / (b + g) + model.curve[1])))), abs=0.02)
+    held = [(rows[r.doc_id], r.quality) for r in labels.collect() if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    share = sum(q for _, q in held) / len(held)
+    loss = lambda ps: -sum(math.log(max(p if q else 1 - p, 1e-9)) for p, (_, q) in zip(ps, held, strict=True)) / len(held)
+    assert loss([p for p, _ in held]) < 0.8 * loss([share] * len(held))
+    assert abs(sum(p for p, _ in held) / len(held) - share) < 0.1
+
+
+def _plain_feistel(values, radices, key, kind):
+    import hashlib
+
+    half = max(len(values) // 2, 1)
+    left, right, lr, rr = values[:half], values[half:], radices[:half], radices[half:]
+
+    def turned(part, sizes, other, i):
+        told = lambda j: "|".join([key, kind, str(i), str(j), ",".join(map(str, other))])
+        return [(v + int(hashlib.sha256(told(j).encode()).hexdigest()[:12], 16)) % sizes[j] for j, v in enumerate(part)]
+
+    for i in range(10):
+        if i % 2 == 0:
+            left = turned(left, lr, right, i)
+        else:
+            right = turned(right, rr, left, i)
+    return left + right
+
+
+def test_pseudonyms_restated(spark):
+    import datetime
+
+    days = [datetime.date(1800, 1, 1) + datetime.timedelta(n) for n in (0, 1, 44_000, 80_000, 146_096)]
+    socials = ["123-45-6789", "001-01-0001", "665-99-9999", "667-01-0001", "899-99-9999", "666-11-1111", "000-11-1111", "123-00-1111"]
+    addresses = ["0.0.0.0", "192.168.1.20", "255.255.255.255"]
+    want = {}
+    for d in days:
+        a, b = _plain_feistel([(d - days[0]).days // 773, (d - days[0]).days % 773], [189, 773], "k", "date")
+        want[str(d)] = str(days[0] + datetime.timedelta(a * 773 + b))
+    for s in socials:
+        area, group, serial = map(int, s.split("-"))
+        if not (1 <= area <= 899 and area != 666 and group and serial):
+            want[s] = s
+            continue
+        a, g, n = _plain_feistel([area - (2 if area > 666 else 1), group - 1, serial - 1], [898, 99, 9999], "k", "social")
+        want[s] = f"{a + (2 if a >= 665 else 1):03d}-{g + 1:02d}-{n + 1:04d}"
+    for x in addresses:
+        want[x] = ".".join(map(str, _plain_feistel([int(v) for v in x.split(".")], [256] * 4, "k", "address")))
+    docs = spark.createDataFrame([(i, f"see {x} there, {x}") for i, x in enumerate(want)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.pseudonymised(docs, "k").collect()}
+    assert got == {i: f"see {w} there, {w}" for i, w in enumerate(want.values())}
+    assert len(set(want.values())) == len(want)
+    with pytest.raises(ValueError):
+        pii.pseudonymised(docs, "")
+
+
+def test_chunks_restated():
+    lines = [f"line {i % 7} {i * i % 11}".encode() if i % 5 else b"" for i in range(300)]
+    cut, begin, full = [], 0, 0
+    for i, x in enumerate(lines):
+        full += bool(x.strip())
+        if full < 2:
+            continue
+        roll = 0
+        for y in lines[max(0, i - 1) : i + 1]:
+            roll = (roll * 0x9E3779B97F4A7C15 + xxhash.xxh64_intdigest(y)) % 2**64
+        if (roll * 0xD6E8FEB86659FD93 % 2**64 >> 33) % 2**24 < 2**24 // 3:
+            cut.append((begin, i + 1))
+            begin, full = i + 1, 0
+    if begin < len(lines):
+        cut.append((begin, len(lines)))
+    assert line_dedup.chunk_spans(lines) == cut and len(cut) > 20
+    shifted = line_dedup.chunk_spans([b"one more", *lines])
+    assert len({(a - 1, b - 1) for a, b in shifted} & set(cut)) > 0.6 * len(cut)  # boundaries find back
+
+
+def test_hot_chunks_lose_nothing(spark, small, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", 2)
+    test_line_dedup_by_brute_force(spark, small)
+
+
+def test_short_items_and_many_blocks(spark):
+    docs = spark.createDataFrame([(1, "say abc now"), (2, "sayabcnow"), (3, "ABC"), (4, "the abc\nand  xyz"), (5, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(10, "abc"), (11, "and xyz"), (12, "  "), (13, "no such words here at all in any text")], "item_id long, text string")
+    for block in (decontamination.BLOCK_CHARS, 4):
+        got = {(r.doc_id, r.item_id, r.distance) for r in decontamination.matches(docs, bench, block).collect()}
+        assert got == {(1, 10, 0), (3, 10, 0), (4, 10, 0), (4, 11, 0)}
+        assert {r.doc_id for r in decontamination.decontaminated(docs, bench, block).collect()} == {2, 5}
+
+
+def test_finer_bands_end_where_the_sort_does(spark, small):
+    docs = table(spark, SMALL, "documents")
+    size, key = mixing._keys(docs, 11, F.lit(0.1))
+    slim = docs.select("source", size.alias("m_size"), key.alias("m_key"))
+    rows = [sorted(map(str, mixing.thresholds(slim, [3, 1, 2], 1.5, 2.0, n).collect())) for n in (mixing.MOST_SORTED, 1, 0)]
+    assert rows[0] == rows[1] == rows[2]
+
+
+def test_odd_rows_through_keys_and_items(spark, odd):
+    """The operators with two inputs or files: nulls, empty and very long texts, repeated rows, clashing names, empty tables."""
+    bench = spark.createDataFrame([(1, LONG), (None, "same text here"), (3, None), (4, "")], "item_id long, text string")
+    clashing = odd.withColumns({"__text": F.lit("x"), "item_id": F.lit(5), "end": F.lit(1), "key": F.lit(0)})
+    assert sorted((str(r.doc_id), str(r.item_id)) for r in decontamination.matches(clashing, bench).collect()) == [("4", "None"), ("4", "None"), ("6", "1"), ("7", "1")]
+    clean = decontamination.decontaminated(clashing, bench)
+    assert clean.columns == clashing.columns and sorted(str(r.doc_id) for r in clean.collect()) == ["1", "2", "5", "None"]
+    assert {r["__text"] for r in clean.collect()} == {"x"}
+    assert decontamination.matches(odd.limit(0), bench).count() == decontamination.matches(odd, bench.limit(0)).count() == 0
+    assert decontamination.decontaminated(odd, bench.limit(0)).count() == len(ODD)
+    path = token_output.public_tokenizer()
+    rows = token_output.tokenized(clashing, path).collect()
+    assert len(rows) == len(ODD) and sorted(r.start for r in rows)[0] == 0
+    assert Counter(r.n_tokens for r in rows if r.doc_id in (1, 2)) == Counter({1: 2})
+    assert token_output.tokenized(odd.limit(0), path).count() == 0
+    labels = spark.createDataFrame([(1, 0, None), (4, 1, 0), (6, 1, 1), (7, 0, 0), (None, 1, 1), (5, None, 0), (2, 7, 0)], "doc_id long, quality int, toxic int")
+    model = quality_classifier.train(odd, labels)
+    scored = quality_classifier.classify(clashing.withColumn("score", F.lit(9)), model).collect()
+    assert len(scored) == len(ODD) and all(0 <= r.score <= 1 for r in scored)
+    assert quality_classifier.train(odd.limit(0), labels.limit(0)).prior == 0.5
+    hidden = odd.withColumns({c: F.lit(c) for c in ("m_id", "m_key", "row", "marks", "__key", "h1", "m_size", "m_band", "t_source", "__found", "__new", "rid", "times")})
+    kept = line_dedup.deduplicated(hidden)
+    assert kept.columns[: len(hidden.columns)] == hidden.columns and {r.m_id for r in kept.collect()} == {"m_id"}
+    assert {r.m_size for r in mixing.mix(hidden).collect()} == {"m_size"} and {r["__found"] for r in pii.pseudonymised(hidden, "k").collect()} == {"__found"}

@@ -2,6 +2,8 @@
 
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.conftest import SMALL
 from tests.llm.test_operators import components, wide_fingerprint
@@ -26,3 +28,22 @@ def test_stages(spark):
     assert {r.doc_id for r in mixed} <= {r.doc_id for r in clean}
     assert sorted(r.doc_id for r in ids) == sorted(r.doc_id for r in mixed)
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, extra columns, empty tables."""
+    text = "\n".join(" ".join(f"word{(i * 7 + j * 3) % 97}" for j in range(9)) for i in range(12))
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, text, "en", None, 7), (4, text, "en", "a", 14), (4, text, "en", "a", 14), (5, "x" * 300_000 + " y" * 30, "de", "b", 1), (6, text + " more", None, "b", 1), (7, text.upper(), "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({"t_key": F.lit(1), "node": F.lit(2), "size": F.lit(3), "row": F.lit(4), "item_id": F.lit(5), "kept": F.lit(6)})
+    counts = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SMALL)
+        counts[name] = out.collect()
+        assert name == corpus_pipeline.STAGES[-1][0] or out.columns == DOCUMENT_COLUMNS
+        assert stage(spark, docs.limit(0), SMALL).count() == 0
+    ids = {name: sorted(str(r.doc_id) for r in got) for name, got in counts.items()}
+    assert "1" not in ids["quality rules"] and "2" not in ids["quality rules"]
+    assert ids["SimHash near-dedup"] == ["1", "4", "5"]  # empty texts are one group, the copies and near copies another
+    assert ids["benchmark decontamination"] == sorted(str(r[0]) for r in rows)
+    assert set(ids["mixing sources to target weights"]) <= {str(r[0]) for r in rows}
+    assert ids["token-ID / binary output"] == sorted(str(r[0]) for r in rows)
