@@ -72,7 +72,7 @@ class WordEncoder:
     id comes from the tokenizers library; a bounded memory of words and of pieces spares it the repeats.
     """
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 300_000, most_pieces: int = 50_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -82,7 +82,7 @@ class WordEncoder:
         code = "H" if self.tokenizer.get_vocab_size() < 0xFF00 else "I"  # the highest byte of an id is then never 255
         self.dtype, self.code = np.dtype("<u2" if code == "H" else "<u4"), code
         self.gap = b"\xff" * self.dtype.itemsize
-        self.words, self.pieces = Memory(most), Memory(most)
+        self.words, self.pieces = Memory(most), Memory(most_pieces)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -154,7 +154,7 @@ def _blocks(tokenizer_path: str, end_id: int):
         def made():
             return pa.RecordBatch.from_pylist([{"part": part, "block": block, "doc0": doc0, "tok0": tok0, "width": width, "keys": keys, "ends": ends, "payload": b"".join(chunks)}], _BLOCK)
 
-        for batch in slices(batches, most=4 << 20):
+        for batch in slices(batches, most=6 << 20):
             for key, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1)), strict=True):
                 ids += end
                 chunks.append(ids)
