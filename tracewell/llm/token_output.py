@@ -72,7 +72,7 @@ class WordEncoder:
     id comes from the tokenizers library; a bounded memory of words and of pieces spares it the repeats.
     """
 
-    def __init__(self, path: str, most: int = 300_000, most_pieces: int = 50_000):
+    def __init__(self, path: str, most: int, most_pieces: int = 50_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -130,14 +130,18 @@ class WordEncoder:
         return [bytes(raw[w * a : w * b]) for a, b in zip(ends, ends[1:], strict=False)]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
+#: Words that a worker remembers, some 200 bytes each and twice at most; with fewer it asks the tokenizer again more often.
+WORDS, FEWER_WORDS = 400_000, 150_000
+#: Bytes of text that are encoded at a time, to a word remembered.
+BYTES_A_WORD = 20
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, words: int) -> WordEncoder:
     """The worker's own encoder; it lives as long as the worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    if (path, words) not in _ENCODERS:
+        _ENCODERS[path, words] = WordEncoder(path, words)
+    return _ENCODERS[path, words]
 
 
 #: Parquet settings under which a row group ends after each block.
@@ -145,16 +149,16 @@ _RAW = {"compression": "none", "parquet.block.size": "1", "parquet.enable.dictio
 _BLOCK = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("doc0", pa.int64()), ("tok0", pa.int64()), ("width", pa.int32()), ("keys", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("payload", pa.binary())])
 
 
-def _blocks(tokenizer_path: str, end_id: int):
+def _blocks(tokenizer_path: str, end_id: int, words: int):
     def run(batches):
-        enc, part = encoder(tokenizer_path), TaskContext.get().partitionId()
+        enc, part = encoder(tokenizer_path, words), TaskContext.get().partitionId()
         width, end = enc.dtype.itemsize, np.array([end_id], enc.dtype).tobytes()
         keys, ends, chunks, held, block, doc0, tok0 = [], [], [], 0, 0, 0, 0
 
         def made():
             return pa.RecordBatch.from_pylist([{"part": part, "block": block, "doc0": doc0, "tok0": tok0, "width": width, "keys": keys, "ends": ends, "payload": b"".join(chunks)}], _BLOCK)
 
-        for batch in slices(batches, most=6 << 20):
+        for batch in slices(batches, most=BYTES_A_WORD * words):
             for key, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1)), strict=True):
                 ids += end
                 chunks.append(ids)
@@ -171,11 +175,11 @@ def _blocks(tokenizer_path: str, end_id: int):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, words: int = WORDS) -> None:
     """Write the files. Null doc_ids come first; rows with one doc_id follow each other in input order; null texts are empty and get the end id alone."""
     ordered = docs.select("doc_id", utf8(F.col("text")).alias("text"), F.monotonically_increasing_id().alias("rid")).repartitionByRange("doc_id", "rid").sortWithinPartitions("doc_id", "rid")
     schema = "part int, block int, doc0 long, tok0 long, width int, keys array<long>, ends array<long>, payload binary"
-    ordered.select("doc_id", "text").mapInArrow(_blocks(tokenizer_path, end_id), schema).write.options(**_RAW).parquet(f"{path}/blocks")
+    ordered.select("doc_id", "text").mapInArrow(_blocks(tokenizer_path, end_id, words), schema).write.options(**_RAW).parquet(f"{path}/blocks")
     spark = docs.sparkSession
     blocks = spark.read.parquet(f"{path}/blocks")
     heads = blocks.select("part", F.size("keys").alias("docs"), F.coalesce(F.element_at("ends", -1), F.lit(0)).alias("ids"))
@@ -352,7 +356,7 @@ def get(keys: DataFrame, path: str) -> DataFrame:
     return hit.select("doc_id", nth.alias("copy"), "ids")
 
 
-def tokenized(docs: DataFrame, tokenizer_path: str, path: str | None = None, ids: bool = False) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer_path: str, path: str | None = None, ids: bool = False, words: int = WORDS) -> DataFrame:
     """Write the documents' ids and read them back through the index.
 
     One row per row of docs: doc_id, start, n_tokens, ids_crc32. Keys of docs go through the index to a place in the
@@ -361,7 +365,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, path: str | None = None, ids
     """
     spark = docs.sparkSession
     path = path or f"{own_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    write_tokens(docs, path, tokenizer_path)
+    write_tokens(docs, path, tokenizer_path, words=words)
     keys = docs.select(F.col("doc_id").alias("key")).distinct()
     found = locate(keys, path).select("key", F.struct("part", "block", "offset").alias("place"), "copies")
     read = read_tokens(spark, path, ids)
@@ -383,4 +387,4 @@ def op7_token_output(spark, sf_dir: str) -> DataFrame:
 
 def token_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage, the last: the documents' ids with their place in the order of the files. Odd rows as in tokenized."""
-    return tokenized(docs.select(*DOCUMENT_COLUMNS), public_tokenizer(), ids=True)
+    return tokenized(docs.select(*DOCUMENT_COLUMNS), public_tokenizer(), ids=True, words=FEWER_WORDS)  # beside what the other stages' workers hold
