@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -238,11 +236,3 @@ def pairwise_scores(labelled: DataFrame, predicted: str, true: str) -> DataFrame
     out = t.crossJoin(p).crossJoin(a)  # three single rows
     ratio = lambda x: F.when(F.col(x) > 0, F.col("together") / F.col(x)).otherwise(1.0)
     return out.select("*", ratio("predicted_pairs").alias("precision"), ratio("true_pairs").alias("recall"))
-
-
-def replayed(links: list[tuple[str, str]], pans: dict[str, str | None]) -> dict[str, str]:
-    """The guarded union over plain lists, for tests."""
-    rows = pd.DataFrame([(a, b, pans.get(a), pans.get(b)) for a, b in links], columns=["a", "b", "pan_a", "pan_b"])
-    out = _replay(rows)
-    found: dict[str, str] = defaultdict(str, zip(out["node"], out["root"], strict=True))
-    return dict(found)
