@@ -82,7 +82,7 @@ SCALED = replace(
     Config(),
     spray_receivers=4, spray_receivers_watch=3, spray_window=48 * HOUR, spray_share=D("0.25"), spray_low=D("0.50"), spray_delay=24 * HOUR,
     speed_link=6 * HOUR, threshold_limits=(100, 50), threshold_count=3, threshold_count_watch=2,
-    signal_first_amount=D("100"), signal_baseline=7 * DAY, dormant_gap=12 * HOUR, dormant_amount=D("200"), dormant_amount_watch=D("120"),
+    signal_first_amount=D("100"), signal_baseline=12 * HOUR, dormant_gap=12 * HOUR, dormant_amount=D("200"), dormant_amount_watch=D("120"),
     pass_window=6 * HOUR, pass_pairs=3, pass_pairs_watch=2, round_multiple=D("1"), round_cluster=3, round_cluster_watch=2,
     band_edges=(10, 25, 50, 100, 200), amount_tiers=((500, 3), (200, 2), (100, 1)),
 )
