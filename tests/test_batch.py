@@ -105,5 +105,5 @@ def test_the_written_tables_come_back(spark, ran, tmp_path):
     assert files.append_new(t["log"], spark, f"file://{tmp_path}/log", "id") == 0
 
 
-def test_config_is_the_reference_of_thresholds():
+def test_configured_thresholds():
     assert Config().circle_max_hops == 8 and Config().control_groups == 20
