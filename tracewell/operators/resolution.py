@@ -229,6 +229,12 @@ def resolve(records: DataFrame, cfg, accounts: DataFrame | None = None) -> tuple
     return e, last.select("account_id", "o.*")
 
 
+def worked_examples(people: DataFrame, most: int = 3) -> DataFrame:
+    """Of the people with two records or more those with most records, then with most rules, then by key: entity_key, n_records, n_rules. A report of a fixed length."""
+    p = people.select("entity_key", F.size("record_ids").alias("n_records"), F.size("rules_used").alias("n_rules")).where("n_records >= 2")
+    return p.orderBy(F.desc("n_records"), F.desc("n_rules"), "entity_key").limit(most)
+
+
 def pairwise_scores(labelled: DataFrame, predicted: str, true: str) -> DataFrame:
     """Precision and recall over pairs by way of the contingency table: together, predicted_pairs, true_pairs, precision, recall."""
     pairs = lambda *by: labelled.groupBy(*by).count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2).cast("long").alias("n"))

@@ -79,3 +79,8 @@ def hero_coverage(found: DataFrame, hero: DataFrame) -> DataFrame:
 def mixed_clusters(clusters: DataFrame, truth: DataFrame) -> DataFrame:
     """Clusters that hold more than one true person."""
     return clusters.join(truth, "record_id").groupBy("root").agg(F.count_distinct("true_entity_id").alias("people")).where("people > 1")
+
+
+def key_figures(rows: DataFrame, by: str, amount: str = "total_amount") -> DataFrame:
+    """by, n, total: counts and value at risk of findings or cases, by detector, typology or lane."""
+    return rows.groupBy(by).agg(F.count("*").alias("n"), F.sum(amount).alias("total"))

@@ -96,6 +96,12 @@ def account_banks(txn: DataFrame) -> DataFrame:
     return legs.groupBy("account").agg(F.max("bank").alias("bank"), (F.min("bank") != F.max("bank")).alias("conflict"))
 
 
+def shares(stats: DataFrame) -> DataFrame:
+    """view, share: a view's edges against those of ALL, in whole percent, from the table of stats with its column view."""
+    every = stats.where("view = 'ALL'").select(F.col("edges").alias("__all"))
+    return stats.crossJoin(every).select("view", F.concat(F.bround(F.col("edges") * 100 / F.col("__all")).cast("long").cast("string"), F.lit("%")).alias("share"))  # one row on the right
+
+
 def leaks(table: DataFrame) -> list[str]:
     """What a consortium table must not hold: forbidden columns, and id columns with ids that are no pseudonyms."""
     bad = sorted(set(table.columns) & FORBIDDEN)
