@@ -30,16 +30,19 @@ def blocking_pairs(records: DataFrame, fields_only: bool = False) -> DataFrame:
     some = F.size("tokens") > 0
     last = F.element_at("tokens", -1)
     named = [
-        F.struct(F.lit("initial").alias("kind"), F.when(some, F.concat_ws(" ", F.substring("stripped", 1, 1), last)).alias("value")),
-        F.struct(F.lit("tokens").alias("kind"), F.when(some, F.array_join(F.array_sort("tokens"), " ")).alias("value")),
-        F.struct(F.lit("name").alias("kind"), F.when(some, F.col("stripped")).alias("value")),
-        F.struct(F.lit("sound").alias("kind"), F.when(F.col("sound") != "", F.col("sound")).alias("value")),
-    ]
-    keys = F.array(*[F.struct(F.lit(f).alias("kind"), F.col(f).alias("value")) for f in FIELDS], *([] if fields_only else named))
-    k = records.select("record_id", F.explode(keys).alias("k")).select("record_id", F.xxhash64("k.kind", "k.value").alias("key"), F.col("k.value").alias("value"), F.col("k.kind").alias("kind")).where("value is not null")
+        F.when(some, F.concat_ws(" ", F.substring("stripped", 1, 1), last)), F.when(some, F.array_join(F.array_sort("tokens"), " ")),
+        F.when(some, F.col("stripped")), F.when(F.col("sound") != "", F.col("sound")),
+    ]
+    values = [F.col(f) for f in FIELDS] + ([] if fields_only else named)
+    own = [f"own_{i}" for i in range(len(values))]
+    r = records.select("record_id", *[v.alias(c) for v, c in zip(values, own, strict=True)])
+    k = r.select("*", F.posexplode(F.array(*own)).alias("kind", "value")).where("value is not null").withColumn("key", F.xxhash64("kind", "value"))
     k = store(k, "blocking-keys")
-    a, b = k.withColumnRenamed("record_id", "a"), k.withColumnRenamed("record_id", "b")
-    return a.join(b, ["key", "kind", "value"]).where("a < b").select("a", "b").distinct()
+    a, b = (k.select(*[F.col(c).alias(f"{side}_{c}") for c in k.columns]) for side in ("a", "b"))
+    met = (F.col("a_key") == F.col("b_key")) & (F.col("a_kind") == F.col("b_kind")) & (F.col("a_value") == F.col("b_value")) & (F.col("a_record_id") < F.col("b_record_id"))
+    for i, c in enumerate(own):  # a pair that meets under several keys is told by the first, so pairs need no shuffle of their own
+        met = met & ~((F.col("a_kind") > i) & F.coalesce(F.col(f"a_{c}") == F.col(f"b_{c}"), F.lit(False)))
+    return a.join(b, met).select(F.col("a_record_id").alias("a"), F.col("b_record_id").alias("b"))
 
 
 def paired(pairs: DataFrame, records: DataFrame) -> DataFrame:

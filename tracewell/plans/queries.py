@@ -275,14 +275,18 @@ def pairwise_precision_recall(spark, sf):
 # --- walks and detectors --------------------------------------------------------------------------------------------------
 
 
+def _txn(spark, sf):
+    return store(adapters.transfers(spark, sf), "transfers")
+
+
 def _bank(spark, sf):
-    b = adapters.bank(spark, sf)
-    txn = store(b.txn, "transfers")
-    return adapters.Bank(txn, store(b.accounts, "accounts"), store(b.people, "people"))
+    txn = _txn(spark, sf)
+    accounts = store(adapters.accounts_of(txn), "accounts")
+    return adapters.Bank(txn, accounts, adapters.people_of(accounts))
 
 
 def _walks(spark, sf):
-    return temporal.circle_walks(_bank(spark, sf).txn, CFG)
+    return temporal.circle_walks(_txn(spark, sf), CFG)
 
 
 @query

@@ -38,11 +38,15 @@ def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bank(spark: SparkSession, sf_dir: str) -> Bank:
     txn = transfers(spark, sf_dir)
-    accounts = txn.select(F.explode(F.array("src", "dst")).alias("account")).distinct()
-    accounts = accounts.select("account", of_account(F.col("account")).alias("person"), bank_of(F.col("account")).alias("bank"), (F.col("account") * 37 % 1000).alias("age"))
+    accounts = accounts_of(txn)
     return Bank(txn, accounts, people_of(accounts))
 
 
+def accounts_of(txn: DataFrame) -> DataFrame:
+    accounts = txn.select(F.explode(F.array("src", "dst")).alias("account")).distinct()
+    return accounts.select("account", of_account(F.col("account")).alias("person"), bank_of(F.col("account")).alias("bank"), (F.col("account") * 37 % 1000).alias("age"))
+
+
 def people_of(accounts: DataFrame) -> DataFrame:
     p = F.col("person")
     return accounts.select("person").distinct().select(p, (p % 17 == 0).alias("is_watchlisted"), F.when(p % 5 != 0, F.concat(F.lit("PAN"), F.lpad(p.cast("string"), 7, "0"))).alias("pan"))
