@@ -20,6 +20,7 @@ ORACLES["scan_account_owners"] = f"WITH {T}, {ACC} SELECT CAST(account AS VARCHA
 ORACLES["prepared_transfers"] = f"WITH {T} SELECT txn_id, ts, CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst, CAST(amount AS DOUBLE) AS amount, channel, src_bank, dst_bank, CAST(payer AS VARCHAR) AS payer, CAST(payee AS VARCHAR) AS payee FROM t"
 ORACLES["written_entities"] = f"WITH {T}, {_PEOPLE} SELECT entity_key, pan, account_ids, is_watchlisted FROM pe"
 ORACLES["written_views"] = _edges("BANK_A")
+ORACLES["written_findings"] = f"WITH {T}, {LINK} SELECT txn_id || '>' || n_txn AS finding_id, 'SPEED' AS detector, txn_id || ',' || n_txn AS txn_ids, array_to_string(list_sort(list_distinct([payer, payee, n_payer, n_payee])), ',') AS people FROM link"
 ORACLES["appended_cases"] = f"WITH {T} SELECT txn_id AS case_id, CAST(CASE WHEN CAST(txn_id AS BIGINT) % 3 = 0 THEN 1 ELSE 2 END AS BIGINT) AS run FROM t"
 ORACLES["resumed_stages"] = f"WITH {T}, n AS (SELECT channel, count(*) AS n FROM t GROUP BY channel) SELECT 'detections' AS stage, channel, n, CAST(1 AS BIGINT) AS run FROM n UNION ALL SELECT 'cases', channel, n, 2 FROM n"
 

@@ -11,7 +11,7 @@ from tracewell.config import SCALED as CFG
 from tracewell.functions import evidence_text, money
 from tracewell.operators import consortium, investigation, resolution, scoring, views
 from tracewell.plans.batch import Stages
-from tracewell.plans.queries import SALT, _bank, _cases, _edge_columns, _links, _noded, _order_amounts, _records, _truth, double, joined, long, query, view_stats
+from tracewell.plans.queries import SALT, _bank, _cases, _edge_columns, _findings, _links, _noded, _order_amounts, _records, _truth, double, joined, long, query, view_stats
 from tracewell.sources import adapters, domain, files, planted, schemas
 from tracewell.storage import own_dir, store
 
@@ -145,6 +145,15 @@ def written_views(spark, sf):
     return _edge_columns(spark.read.parquet(f"{path}/edges").where("view = 'BANK_A'"))
 
 
+@query
+def written_findings(spark, sf):
+    """Findings as JSON, lists and all, read back under their schema."""
+    path = _path(spark, "findings") + ".json"
+    _findings(adapters.transfers(spark, sf)).write.json(path)
+    f = files.read(spark, path, "finding_id string, detector string, txn_ids array<string>, people array<bigint>")
+    return f.select("finding_id", "detector", joined("txn_ids"), joined("people"))
+
+
 @query
 def appended_cases(spark, sf):
     """Written cases kept from an earlier run: only keys that are not there yet come from the later one."""
