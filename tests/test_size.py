@@ -1,12 +1,15 @@
 """Steps that once lost rows or grew faster than their input: the short way against the plain one."""
 
+from decimal import Decimal
+
+import duckdb
 from pyspark.sql import functions as F
 
-from tests.conftest import SMALL
+from tests.conftest import MIDDLE, SMALL
 from tracewell.config import SCALED as CFG
 from tracewell.functions import money
-from tracewell.operators import resolution
-from tracewell.plans import queries
+from tracewell.operators import consortium, resolution
+from tracewell.plans import oracles, queries
 from tracewell.sources import adapters
 
 
@@ -46,3 +49,20 @@ def test_halves_in_words_fall_as_in_the_sql(spark, duck):
     two = "rtrim(rtrim(format('{{:.2f}}', CAST(round(CAST({0} AS DECIMAL(20,2)) / {1}, 2) AS DOUBLE)), '0'), '.')"
     want = lambda d: duck.execute("SELECT " + two.format(d, 10_000_000 if d >= 10_000_000 else 100_000)).fetchone()[0]
     assert [r.w for r in got] == [f"Rs {want(r.d)} {'crore' if r.d >= 10_000_000 else 'lakh'}" for r in got]
+
+
+def test_circle_beside_a_smaller_path_that_no_bank_confirms(spark):
+    rows = [("t0", 0, 0, 1, 100, "p0", "p1"), ("t1", 100, 1, 2, 80, "p1", "p2"), ("t2", 200, 1, 2, 99, "p1", "p2"), ("t3", 300, 2, 0, 98, "p2", "p0")]
+    noded = spark.createDataFrame([(*r[:4], Decimal(r[4]), *r[5:]) for r in rows], "txn_id string, ts long, src long, dst long, amount decimal(18,2), u string, v string")
+    assert [(r.path, r.hops) for r in consortium.circles(noded, CFG).collect()] == [(["t0", "t2", "t3"], 3)]
+
+
+def test_consortium_circles_are_all_there(spark):
+    duck = duckdb.connect()
+    duck.execute(f"set timezone='UTC'; create view events as select * from '{MIDDLE}/events.parquet'")
+    sql = f"""WITH RECURSIVE {oracles.noded("CONSORTIUM")}, b AS (SELECT *, {oracles.BAND} AS band FROM n),
+      w AS (SELECT ts + {CFG.circle_window} AS lim, u AS origin, v AS node, dst AS at, ts, amount, band, 1 AS hops, txn_id AS path FROM b
+      UNION ALL SELECT w.lim, w.origin, b.v, b.dst, b.ts, b.amount, b.band, w.hops + 1, w.path || ',' || b.txn_id FROM w JOIN b ON b.src = w.at AND b.u = w.node AND b.ts > w.ts AND b.ts <= w.lim AND abs(b.band - w.band) <= 1 AND b.amount >= {CFG.circle_low} * w.amount AND b.amount <= {CFG.circle_high} * w.amount WHERE w.hops < {CFG.circle_max_hops})
+      SELECT path, hops FROM w WHERE hops >= {CFG.circle_min_hops} AND node = origin"""
+    want = sorted(duck.execute(sql).fetchall())
+    assert want and sorted((r.path, r.hops) for r in queries.consortium_circles(spark, MIDDLE).collect()) == want

@@ -15,28 +15,31 @@ def bucketed_rows(noded: DataFrame, cfg) -> DataFrame:
     return noded.select("txn_id", "u", "v", amount_band(F.col("amount"), cfg.band_edges).alias("band"), (F.col("ts") - F.col("ts") % 3600).alias("hour"))
 
 
-def candidates(rows: DataFrame, cfg) -> DataFrame:
-    """Walks over pseudonyms that return to their origin: path, hops.
-
-    The next leg leaves the node that the last reached, its hour is not earlier and at most the window after the first,
-    its band at most one off. Of the walks from one start that reach a leg at the same hop, the smallest path stands
-    for all: a fixed choice that keeps the frontier no larger than (legs x hops).
+def circles(noded: DataFrame, cfg) -> DataFrame:
+    """All walks over pseudonyms that return to their origin and that the banks' own figures confirm: path, hops.
+
+    Of what the consortium sees, the next leg leaves the node that the last reached, its hour is not earlier and at most
+    the window after the first, its band at most one off. A bank confirms a step if both legs are on one account, the next
+    strictly later, and it keeps the share. Every condition of a confirmed path but its span is one of neighbouring legs,
+    so each step is put to the bank as the walk takes it, and the span as the walk grows: nothing that can be confirmed is
+    dropped, and walks that no bank would confirm are not carried on.
     """
-    legs = store(rows.select(F.col("txn_id").alias("n_txn"), F.col("u").alias("n_u"), F.col("v").alias("n_v"), F.col("band").alias("n_band"), F.col("hour").alias("n_hour")), "bucketed")
-    front = store(rows.select(F.col("u").alias("origin"), F.col("v").alias("at"), F.col("band"), F.col("hour"), (F.col("hour") + cfg.circle_window).alias("until"), F.array("txn_id").alias("path")), "bucketed-1")
+    own = noded.select("txn_id", "ts", "src", "dst", "amount")
+    legs = bucketed_rows(noded, cfg).join(own, "txn_id")
+    right = store(legs.select(*[F.col(c).alias(f"n_{c}") for c in ("txn_id", "ts", "src", "dst", "amount", "u", "v", "band", "hour")]), "bucketed")
+    front = store(legs.select(F.col("u").alias("origin"), F.col("v").alias("at"), "band", "hour", F.col("dst").alias("account"), "ts", "amount", (F.col("ts") + cfg.circle_window).alias("until"), F.array("txn_id").alias("path")), "bucketed-1")
     closed = None
     for hop in range(2, cfg.circle_max_hops + 1):
-        j = temporal.range_join(front, legs, [("at", "n_u")], F.col("hour"), F.col("until"), "n_hour", cfg.circle_window)
-        j = j.where((F.abs(F.col("n_band") - F.col("band")) <= 1) & ~F.array_contains("path", F.col("n_txn")))
-        j = j.select("origin", F.col("n_v").alias("at"), F.col("n_band").alias("band"), F.col("n_hour").alias("hour"), "until", F.concat("path", F.array("n_txn")).alias("path"))
-        best = Window.partitionBy(F.element_at("path", 1), F.element_at("path", -1)).orderBy("path")
-        front, n = temporal._guarded(j.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n"), f"bucketed-{hop}", cfg.most_paths)
+        j = temporal.range_join(front, right, [("account", "n_src")], F.col("ts") + 1, F.col("until"), "n_ts", cfg.circle_window)
+        j = j.where((F.col("at") == F.col("n_u")) & (F.abs(F.col("n_band") - F.col("band")) <= 1) & (F.col("n_hour") >= F.col("hour")) & temporal.keeps("n_amount", "amount", cfg.circle_low, cfg.circle_high))
+        j = j.select("origin", F.col("n_v").alias("at"), F.col("n_band").alias("band"), F.col("n_hour").alias("hour"), F.col("n_dst").alias("account"), F.col("n_ts").alias("ts"), F.col("n_amount").alias("amount"), "until", F.concat("path", F.array("n_txn_id")).alias("path"))
+        front, n = temporal._guarded(j, f"bucketed-{hop}", cfg.most_paths)
         if hop >= cfg.circle_min_hops:
             back = front.where("at = origin").select("path", F.lit(hop).alias("hops"))
             closed = back if closed is None else closed.union(back)
         if not n:
             break
-    return closed.withColumn("__set", F.array_sort("path")).dropDuplicates(["__set"]).drop("__set") if closed is not None else front.limit(0).select("path", F.lit(0).alias("hops"))
+    return closed if closed is not None else front.limit(0).select("path", F.lit(0).alias("hops"))
 
 
 def confirmed(paths: DataFrame, txn: DataFrame, cfg) -> DataFrame:
