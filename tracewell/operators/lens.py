@@ -69,8 +69,8 @@ def summary(s: DataFrame) -> DataFrame:
 def control_groups(txn: DataFrame, sizes: DataFrame, per_case: int, involved: DataFrame | None = None, seed: int = 7, rounds: int = 4) -> DataFrame:
     """group, txn_id: neighbourhoods as large as the cases (group, people, transfers; three of each at least), grown from people drawn by hash.
 
-    Each round adds the neighbours of everyone in a group in hash order until the size is reached; the group's transfers
-    are those among its people, as many as the case has. People of the cases (`involved`: person) are neither drawn nor
+    Each round adds neighbours of everyone in a group, drawn by hash, until the size is reached; the group's transfers are
+    those among its people, as many as the case has. People of the cases (`involved`: person) are neither drawn nor
     joined. Groups without a transfer among themselves give no row.
     """
     if involved is not None:
@@ -89,12 +89,22 @@ def control_groups(txn: DataFrame, sizes: DataFrame, per_case: int, involved: Da
     lot = lot.join(F.broadcast(lot.groupBy("slot").count().select("slot", before.alias("before"))), "slot").select("p", (F.col("before") + F.col("nth") - 1).alias("rank"))
     starts = wanted.withColumn("rank", F.pmod(F.xxhash64("group", F.lit(seed)), F.lit(max(1, everyone.count())))).join(lot, "rank")
     members = store(starts.select("group", "people", "transfers", "p"), "controls-0")
+    # a person's neighbours have places in hash order; a group takes as many as it wants in all from a place of its own on, so that a hub's neighbours are never read whole
+    place = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("p", "q", F.lit(seed)), "q"))
+    slots = near.withColumn("slot", F.pmod(F.xxhash64("p", "q", F.lit(seed + 1)), F.lit(1 << 10))).withColumn("in_slot", place(["p", "slot"]))
+    slots = store(slots, "slots")
+    held = slots.groupBy("p", "slot").agg(F.count("*").alias("n"))
+    held = held.select("p", "slot", (F.sum("n").over(Window.partitionBy("p").orderBy("slot")) - F.col("n")).alias("before"))  # at most 1,024 rows to a person
+    places = store(slots.join(held, ["p", "slot"]).select("p", (F.col("before") + F.col("in_slot") - 1).alias("place"), "q"), "places")
+    degree = store(near.groupBy("p").agg(F.count("*").alias("degree")), "degrees")
     for i in range(rounds):
-        more = members.join(near, "p").select("group", "people", "transfers", F.col("q").alias("p"), F.lit(1).alias("new")).union(members.select("group", "people", "transfers", "p", F.lit(0).alias("new")))
+        asked = members.join(degree, "p").withColumn("step", F.explode(F.sequence(F.lit(0), F.least(F.col("people").cast("long"), F.col("degree")).cast("int") - 1)))
+        asked = asked.select("group", "people", "transfers", "p", F.pmod(F.xxhash64("group", "p", F.lit(seed)) % F.col("degree") + F.col("step"), F.col("degree")).alias("place"))
+        more = asked.join(places, ["p", "place"]).select("group", "people", "transfers", F.col("q").alias("p"), F.lit(1).alias("new")).union(members.select("group", "people", "transfers", "p", F.lit(0).alias("new")))
         more = more.groupBy("group", "people", "transfers", "p").agg(F.min("new").alias("new"))
         rank = F.row_number().over(Window.partitionBy("group").orderBy("new", F.xxhash64("group", "p")))
         members = store(more.withColumn("__n", rank).where(F.col("__n") <= F.col("people")).drop("__n", "new"), f"controls-{i + 1}")
     a, b = members.select("group", "transfers", F.col("p").alias("payer")), members.select("group", F.col("p").alias("payee"))
-    inside = txn.join(a, "payer").join(b, ["group", "payee"]).select("group", "transfers", "txn_id", "ts")
+    inside = a.join(b, "group").join(txn.select("payer", "payee", "txn_id", "ts"), ["payer", "payee"]).select("group", "transfers", "txn_id", "ts")
     rank = F.row_number().over(Window.partitionBy("group").orderBy("ts", "txn_id"))
     return inside.withColumn("__n", rank).where(F.col("__n") <= F.col("transfers")).select("group", "txn_id")
