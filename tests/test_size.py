@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tests.conftest import MIDDLE, SMALL
 from tracewell.config import SCALED as CFG
 from tracewell.functions import money
-from tracewell.operators import consortium, resolution
+from tracewell.operators import cases, consortium, lens, resolution
 from tracewell.plans import oracles, queries
 from tracewell.sources import adapters
 
@@ -66,3 +66,55 @@ def test_consortium_circles_are_all_there(spark):
       SELECT path, hops FROM w WHERE hops >= {CFG.circle_min_hops} AND node = origin"""
     want = sorted(duck.execute(sql).fetchall())
     assert want and sorted((r.path, r.hops) for r in queries.consortium_circles(spark, MIDDLE).collect()) == want
+
+
+def test_control_groups_around_a_hub_are_as_large_as_wanted(spark):
+    txn = spark.range(1, 2001).selectExpr("cast(id as string) txn_id", "id ts", "id payer", "0L payee")
+    sizes = spark.createDataFrame([(i, 5, 10) for i in range(10)], "group long, people long, transfers long")
+    got = lens.control_groups(txn, sizes, 20).groupBy("group").count().collect()
+    assert len(got) == 200 and {r["count"] for r in got} == {4}
+    assert len({r.txn_id for r in lens.control_groups(txn, sizes, 20).select("txn_id").collect()}) > 400  # not the same few neighbours of the hub
+
+
+def _small_cases(spark):
+    b, f, c, ev, span = queries._cases(spark, MIDDLE)
+    return b.txn.collect(), {(r.group, r.person) for r in c.collect()}, {r.group: (r.first_ts, r.last_ts) for r in span.collect()}, b.txn, c, ev, span
+
+
+def _plain_context(txn, core, span):
+    for g, (first, last) in span.items():
+        for t in txn:
+            if (g, t.payee) in core and (g, t.payer) not in core and first - CFG.context_pad <= t.ts <= first:
+                yield g, "IN", t.payer, t.txn_id, t.amount
+            if (g, t.payer) in core and (g, t.payee) not in core and last <= t.ts <= last + CFG.context_pad:
+                yield g, "OUT", t.payee, t.txn_id, t.amount
+
+
+def test_context_without_its_rows_equals_the_plain_one(spark):
+    txn, core, span, *frames = _small_cases(spark)
+    rows, sums = list(_plain_context(txn, core, span)), {}
+    for g, d, p, _, amount in rows:
+        sums.setdefault((g, d), {}).setdefault(p, Decimal(0))
+        sums[g, d][p] += amount
+    want = {(g, d, p): (s, n) for (g, d), of in sums.items() for n, (p, s) in enumerate(sorted(of.items(), key=lambda x: (-x[1], x[0]))[: CFG.context_top], 1)}
+    t, c, _, sp = frames
+    top = cases.top_context(c, sp, t, CFG)
+    assert want and {(r.group, r.direction, r.person): (r.amount, r["rank"]) for r in top.collect()} == want
+    key = lambda r: (r.group, r.direction, r.person, r.txn_id)
+    assert sorted(map(key, cases.context(c, sp, t, CFG, top).collect())) == sorted(r[:4] for r in rows if r[:3] in want)
+    inside = {p for _, p in core}
+    assert sorted(map(key, cases.context(c, sp, t, CFG, outsiders=True).collect())) == sorted(r[:4] for r in rows if r[2] not in inside)
+
+
+def test_large_cores_find_the_same_background(spark, monkeypatch):
+    *_, t, c, ev, sp = _small_cases(spark)
+    small = sorted(map(str, cases.supporting(c, sp, ev, t, CFG).collect()))
+    monkeypatch.setattr(cases, "SMALL_CORE", 2)
+    assert small and sorted(map(str, cases.supporting(c, sp, ev, t, CFG).collect())) == small
+
+
+def test_links_ask_for_two_cases_of_a_person_only(spark):
+    core = spark.createDataFrame([(f"C{i}", 1) for i in range(8, 200)] + [("C9", 2)], "case_id string, person long")
+    top = spark.createDataFrame([("C8", "IN", 1, 5), ("C9", "OUT", 1, 6), ("C9", "IN", 2, 7)], "case_id string, direction string, person long, amount long")
+    got = {tuple(r) for r in cases.links(top, core).collect()}
+    assert got == {("C8", "C9", 1, "IN", 5), ("C9", "C8", 1, "OUT", 5), ("C9", "C8", 1, "OUT", 6), ("C8", "C9", 1, "IN", 6)}
