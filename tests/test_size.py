@@ -102,8 +102,20 @@ def test_context_without_its_rows_equals_the_plain_one(spark):
     assert want and {(r.group, r.direction, r.person): (r.amount, r["rank"]) for r in top.collect()} == want
     key = lambda r: (r.group, r.direction, r.person, r.txn_id)
     assert sorted(map(key, cases.context(c, sp, t, CFG, top).collect())) == sorted(r[:4] for r in rows if r[:3] in want)
-    inside = {p for _, p in core}
-    assert sorted(map(key, cases.context(c, sp, t, CFG, outsiders=True).collect())) == sorted(r[:4] for r in rows if r[2] not in inside)
+    inside, met = {p for _, p in core}, {}
+    for g, _, p, i, _ in rows:
+        if p not in inside:
+            met.setdefault(p, (set(), set()))[0].add(g)
+            met[p][1].add(i)
+    assert {r.person: (r.cases, set(r.txn_ids)) for r in cases.leads_around(c, sp, t, CFG).collect()} == {p: (len(g), i) for p, (g, i) in met.items() if len(g) > 1}
+
+
+def test_outsider_on_both_sides_of_a_case_counts_it_once(spark):
+    d = Decimal(5)
+    txn = spark.createDataFrame([("t1", 100, d, 9, 1), ("t2", 300, d, 2, 9), ("t3", 100, d, 8, 1), ("t4", 100, d, 9, 3)], "txn_id string, ts long, amount decimal(18,2), payer long, payee long")
+    core = spark.createDataFrame([("A", 1), ("A", 2), ("B", 3)], "group string, person long")
+    span = spark.createDataFrame([("A", 150, 200), ("B", 150, 200)], "group string, first_ts long, last_ts long")
+    assert [(r.person, r.cases, r.txn_ids) for r in cases.leads_around(core, span, txn, CFG).collect()] == [(9, 2, ["t1", "t4", "t2"])]
 
 
 def test_large_cores_find_the_same_background(spark, monkeypatch):
