@@ -130,3 +130,9 @@ def test_links_ask_for_two_cases_of_a_person_only(spark):
     top = spark.createDataFrame([("C8", "IN", 1, 5), ("C9", "OUT", 1, 6), ("C9", "IN", 2, 7)], "case_id string, direction string, person long, amount long")
     got = {tuple(r) for r in cases.links(top, core).collect()}
     assert got == {("C8", "C9", 1, "IN", 5), ("C9", "C8", 1, "OUT", 5), ("C9", "C8", 1, "OUT", 6), ("C8", "C9", 1, "IN", 6)}
+
+
+def test_resolution_joins_send_no_table_to_the_driver(spark):
+    r = _people(spark)
+    plan = resolution.paired(resolution.blocking_pairs(r, fields_only=True), r)._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.storage import store
+from tracewell.storage import apart, store
 
 #: A node with more edges is a hub; with so many edges in all that hubs could exceed MOST_HUBS rows, the bound rises.
 HUB_EDGES, MOST_HUBS = 1000, 1_000_000
@@ -21,9 +21,9 @@ def _with_least(edges: DataFrame, n_edges: int) -> DataFrame:
     bound = max(HUB_EDGES, n_edges // MOST_HUBS)
     hubs = low.where(F.col("n") > bound)
     if hubs.isEmpty():
-        return edges.join(low, F.col("u") == F.col("w")).select("u", "v", "m")
+        return edges.join(apart(low), F.col("u") == F.col("w")).select("u", "v", "m")
     hub = F.broadcast(hubs.drop("n"))
-    plain = edges.join(F.broadcast(hubs.select("w")), F.col("u") == F.col("w"), "left_anti").join(low.where(F.col("n") <= bound), F.col("u") == F.col("w"))
+    plain = edges.join(F.broadcast(hubs.select("w")), F.col("u") == F.col("w"), "left_anti").join(apart(low.where(F.col("n") <= bound)), F.col("u") == F.col("w"))
     return plain.select("u", "v", "m").union(edges.join(hub, F.col("u") == F.col("w")).select("u", "v", "m"))
 
 
@@ -41,6 +41,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             roots = e.select(F.col("u").alias("r_node"), F.col("v").alias("root"))
-            return nodes.join(roots, F.col("node") == F.col("r_node"), "left").select("node", F.coalesce("root", "node").alias("root"))
+            return nodes.join(apart(roots), F.col("node") == F.col("r_node"), "left").select("node", F.coalesce("root", "node").alias("root"))
         seen, n = now, now[0]
     raise RuntimeError("components did not settle")
