@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.conftest import SMALL
 from tests.llm.test_operators import components, wide_fingerprint
-from tracewell.llm import decontamination, quality_rules
-from tracewell.llm.common import DOCUMENT_COLUMNS, store, table
+from tracewell.llm import decontamination, quality_rules, token_output
+from tracewell.llm.common import DOCUMENT_COLUMNS, slices, store, table
 
 
 def test_stages(spark):
@@ -47,3 +47,12 @@ def test_stages_on_odd_rows(spark):
     assert ids["benchmark decontamination"] == sorted(str(r[0]) for r in rows)
     assert set(ids["mixing sources to target weights"]) <= {str(r[0]) for r in rows}
     assert ids["token-ID / binary output"] == sorted(str(r[0]) for r in rows)
+
+
+def test_a_worker_holds_the_memory_of_one_operator():
+    """The words that the token stage remembers go when the worker turns to another stage, and stay between the stage's own tasks."""
+    token_output._ENCODERS["x", 1] = "words"
+    list(slices(iter([]), keep=token_output._ENCODERS))
+    assert token_output._ENCODERS == {("x", 1): "words"}
+    list(slices(iter([])))
+    assert token_output._ENCODERS == {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,8 +39,28 @@ def text_key(text: Column) -> Column:
     return F.md5(utf8(text))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str | Callable[[pa.RecordBatch], pa.Array] = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+_KEPT: list[dict] = []
+
+
+def kept_by_worker() -> dict:
+    """A dictionary that outlives a task. Tasks of other operators empty it, so that a worker holds the memory of one operator only."""
+    _KEPT.append({})
+    return _KEPT[-1]
+
+
+def fresh(keep: dict | None = None) -> None:
+    """Begin a task: forget what other operators kept in this worker, and give back what its allocators still hold of earlier tasks."""
+    for kept in _KEPT:
+        if kept is not keep:
+            kept.clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's only
+        trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str | Callable[[pa.RecordBatch], pa.Array] = "text", most: int = 4 << 20, keep: dict | None = None) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the bytes of a column (its name, or what picks it) stay near a bound; a longer single row passes whole."""
+    fresh(keep)
     for batch in batches:
         values = column(batch) if callable(column) else batch.column(batch.schema.get_field_index(column))
         lengths = np.asarray(pc.fill_null(pc.binary_length(values), 0), dtype=np.int64)

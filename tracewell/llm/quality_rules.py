@@ -26,6 +26,8 @@ ORDER = 5
 PAD = b"\0" * (ORDER - 1)
 #: Grams that are sent out, at 12 bytes each.
 MOST_HEAD = 1_000_000
+#: Bytes of text that are counted or measured at a time; a task holds some 60 bytes for each.
+SLICE = 1 << 20
 #: Grams looked up at a time.
 LOOKUP = 1 << 18
 #: Grams that a counting task holds before it passes them on.
@@ -47,7 +49,8 @@ def packed_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     starts = np.concatenate([[0], np.cumsum(lengths)])
     g = np.zeros(max(0, len(a) - ORDER + 1), np.uint64)
     for j in range(ORDER):
-        g = (g << np.uint64(8)) | a[j : j + len(g)]
+        np.left_shift(g, np.uint64(8), out=g)
+        np.bitwise_or(g, a[j : j + len(g)], out=g)
     first = np.cumsum(lengths + len(PAD)) - lengths - len(PAD)
     real = np.ones(len(g), bool)
     for f in first[1:].tolist():  # grams that end in the padding between two texts
@@ -74,7 +77,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
             for i in range(0, len(g), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(g[i : i + (1 << 16)].view(np.int64)), pa.array(n[i : i + (1 << 16)])], ["gram", "n"])
 
-        for b in slices(batches, most=2 << 20):
+        for b in slices(batches, most=SLICE):
             g, n = np.unique(packed_grams(b.column(0).to_pylist())[0], return_counts=True)
             held.append((g, n.astype(np.int64)))
             size += len(g)
@@ -228,7 +231,7 @@ def _measured(docs: DataFrame, carry: list[str], model) -> DataFrame:
 
     def run(batches):
         names = [*carry, "rid", *BASE, "n_bytes", "log_p", "gram", "times"]
-        for batch in slices(batches, "__text", 2 << 20):
+        for batch in slices(batches, "__text", SLICE):
             texts = batch.column(len(carry) + 1).to_pylist()
             rid = batch.column(len(carry))
             cols = base_counts(texts, hashes)

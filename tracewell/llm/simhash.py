@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import DOCUMENT_COLUMNS, over_batches, store, table, text_key, utf8
+from tracewell.llm.common import DOCUMENT_COLUMNS, fresh, over_batches, store, table, text_key, utf8
 from tracewell.llm.components import components
 
 SEED = 42
@@ -176,6 +176,7 @@ def _links(scheme: Scheme):
         return pa.RecordBatch.from_arrays([pa.array(uv[0]), pa.array(uv[1])], ["u", "v"])
 
     def run(batches):
+        fresh()
         key, fp = np.zeros(0, np.int64), np.zeros((0, scheme.numbers), np.uint64)
         for b in batches:
             key = np.concatenate([key, np.asarray(b.column(0))])

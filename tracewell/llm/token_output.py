@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import DOCUMENT_COLUMNS, own_dir, slices, store, table, utf8
+from tracewell.llm.common import DOCUMENT_COLUMNS, fresh, kept_by_worker, own_dir, slices, store, table, utf8
 
 END_ID = 2
 BLOCK_BYTES, BLOCK_DOCS, BUCKET_KEYS = 2 << 20, 50_000, 20_000
@@ -130,7 +130,7 @@ class WordEncoder:
         return [bytes(raw[w * a : w * b]) for a, b in zip(ends, ends[1:], strict=False)]
 
 
-_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
+_ENCODERS: dict[tuple[str, int], WordEncoder] = kept_by_worker()
 #: Words that a worker remembers, some 200 bytes each and twice at most; with fewer it asks the tokenizer again more often.
 WORDS, FEWER_WORDS = 400_000, 150_000
 #: Bytes of text that are encoded at a time, to a word remembered.
@@ -138,7 +138,7 @@ BYTES_A_WORD = 20
 
 
 def encoder(path: str, words: int) -> WordEncoder:
-    """The worker's own encoder; it lives as long as the worker."""
+    """The worker's own encoder; it lives until the worker turns to another operator."""
     if (path, words) not in _ENCODERS:
         _ENCODERS[path, words] = WordEncoder(path, words)
     return _ENCODERS[path, words]
@@ -158,7 +158,7 @@ def _blocks(tokenizer_path: str, end_id: int, words: int):
         def made():
             return pa.RecordBatch.from_pylist([{"part": part, "block": block, "doc0": doc0, "tok0": tok0, "width": width, "keys": keys, "ends": ends, "payload": b"".join(chunks)}], _BLOCK)
 
-        for batch in slices(batches, most=BYTES_A_WORD * words):
+        for batch in slices(batches, most=BYTES_A_WORD * words, keep=_ENCODERS):
             for key, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1)), strict=True):
                 ids += end
                 chunks.append(ids)
@@ -302,6 +302,7 @@ def _digested(blocks: DataFrame, base: dict[int, int], ids: bool) -> DataFrame:
     schema = pa.schema(fields)
 
     def run(batches):
+        fresh(_ENCODERS)
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
