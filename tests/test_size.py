@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tests.conftest import MIDDLE, SMALL
 from tracewell.config import SCALED as CFG
 from tracewell.functions import money
-from tracewell.operators import cases, consortium, lens, resolution
+from tracewell.operators import cases, consortium, lens, resolution, temporal
 from tracewell.plans import oracles, queries
 from tracewell.sources import adapters
 
@@ -136,3 +136,16 @@ def test_resolution_joins_send_no_table_to_the_driver(spark):
     r = _people(spark)
     plan = resolution.paired(resolution.blocking_pairs(r, fields_only=True), r)._jdf.queryExecution().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_windows_of_anchors_are_grouped_without_a_further_shuffle(spark):
+    """Members meet their anchor under its own stretch of time, and all of them do."""
+    rows = [(s, (i * 37) % 90, f"{s}-{i:02d}", i % 5) for s in (1, 2) for i in range(30)]
+    m = temporal.anchored(spark.createDataFrame(rows, "src long, ts long, txn_id string, dst long"), ["src"], 20, 2, ["dst"])
+    want = sorted((a[2], b[2]) for a in rows for b in rows if a[0] == b[0] and a[1] <= b[1] <= a[1] + 20 and (a[1], a[2]) <= (b[1], b[2]))
+    got = sorted((x.a_txn, x.txn_id) for x in m.select("a_txn", "txn_id").collect())
+    alone = {a for a in {p[0] for p in want} if sum(p[0] == a for p in want) == 1}
+    assert len(got) == len(set(got)) and {p for p in got if p[0] not in alone} == {p for p in want if p[0] not in alone}
+    g = m.groupBy("a_src", "a_slot", "a_txn", "dst").agg(F.count("*").alias("n")).groupBy("a_src", "a_slot", "a_txn").agg(F.count("*").alias("receivers"))
+    plan = g._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2, plan
