@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tests.conftest import MIDDLE, SMALL
 from tracewell.config import SCALED as CFG
 from tracewell.functions import money
-from tracewell.operators import cases, consortium, lens, resolution, temporal
+from tracewell.operators import cases, consortium, detectors, lens, resolution, temporal
 from tracewell.plans import oracles, queries
 from tracewell.sources import adapters
 
@@ -167,3 +167,13 @@ def test_merges_go_in_order_and_few_go_through_python(spark, monkeypatch):
     assert sorted(map(tuple, resolution.merges(spark.createDataFrame(links, ddl)).collect())) == sorted(want)
     monkeypatch.setattr(resolution, "components", None)
     assert sorted(map(tuple, resolution.merges(spark.createDataFrame(free, ddl)).collect())) == sorted(x[2:] for x in free)
+
+
+def test_pass_through_legs_bring_their_watch_marks(spark):
+    """No join of the pairs with all transfers: the marks come along with the legs."""
+    b = adapters.bank(spark, MIDDLE)
+    t = detectors.with_watch(b.txn, detectors.watched(b.people))
+    marks = {r.txn_id: r.touches_watch for r in t.collect()}
+    got = detectors.pass_pairs(t, CFG).collect()
+    assert len(got) > 10 and {True, False} <= {r.i_watch for r in got}
+    assert all((r.i_watch, r.o_watch) == (marks[r.i_txn], marks[r.o_txn]) for r in got)

@@ -151,9 +151,11 @@ def dormant(txn: DataFrame, accounts: DataFrame, watch: DataFrame, cfg) -> DataF
 
 
 def pass_candidates(txn: DataFrame, cfg) -> DataFrame:
-    """Incoming legs with the outgoing legs that could be the same money: account, i_txn, i_ts, i_amount, o_txn, o_ts, o_amount."""
-    c = temporal.links(txn, cfg.pass_window, cfg.pass_low, cfg.pass_high)
-    return c.select(F.col("dst").alias("account"), F.col("txn_id").alias("i_txn"), F.col("ts").alias("i_ts"), F.col("amount").alias("i_amount"), F.col("n_txn").alias("o_txn"), F.col("n_ts").alias("o_ts"), F.col("n_amount").alias("o_amount"))
+    """Incoming legs with the outgoing legs that could be the same money: account, i_txn, i_ts, i_amount, o_txn, o_ts, o_amount; i_watch and o_watch if txn has touches_watch."""
+    marks = [c for c in ("touches_watch",) if c in txn.columns]
+    c = temporal.links(txn, cfg.pass_window, cfg.pass_low, cfg.pass_high, *marks)
+    watch = [F.col(a + m).alias(f"{leg}_watch") for m in marks for a, leg in (("", "i"), ("n_", "o"))]
+    return c.select(F.col("dst").alias("account"), F.col("txn_id").alias("i_txn"), F.col("ts").alias("i_ts"), F.col("amount").alias("i_amount"), F.col("n_txn").alias("o_txn"), F.col("n_ts").alias("o_ts"), F.col("n_amount").alias("o_amount"), *watch)
 
 
 def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -199,9 +201,7 @@ def pass_pairs(txn: DataFrame, cfg) -> DataFrame:
 
 def pass_through(txn: DataFrame, watch: DataFrame, cfg) -> DataFrame:
     """An account that again and again forwards money within minutes."""
-    on = with_watch(txn, watch).select("txn_id", "touches_watch")
-    p = pass_pairs(txn, cfg)
-    p = p.join(on.select(F.col("txn_id").alias("i_txn"), F.col("touches_watch").alias("i_watch")), "i_txn").join(on.select(F.col("txn_id").alias("o_txn"), F.col("touches_watch").alias("o_watch")), "o_txn")
+    p = pass_pairs(with_watch(txn, watch).select(*temporal.STEP, "touches_watch"), cfg)
     share, delay = (F.col("o_amount") * 100 / F.col("i_amount")).cast("double"), (F.col("o_ts") - F.col("i_ts")) / 60.0
     g = p.groupBy("account").agg(F.count("*").alias("pairs"), F.max(F.col("i_watch") | F.col("o_watch")).alias("watch"), F.round(F.avg(share), 2).alias("avg_share"), F.round(F.min(share), 2).alias("lo"), F.round(F.max(share), 2).alias("hi"), F.round(F.max(delay), 1).alias("slowest"), F.array_distinct(F.flatten(F.array_sort(F.collect_list(F.array("i_txn", "o_txn"))))).alias("ids"))
     g = g.withColumn("required", F.when(F.col("watch"), cfg.pass_pairs_watch).otherwise(cfg.pass_pairs)).where("pairs >= required")
