@@ -260,6 +260,45 @@ def test_token_files_round_trip(spark, small, tmp_path):
         at += len(ids)
 
 
+def test_words_are_cut_as_the_tokenizer_cuts_them():
+    import numpy as np
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = token_output.public_tokenizer()
+    t = Tokenizer.from_file(path)
+    letters = [chr(c) for c in (*range(1, 127), *range(0xA0, 0x100))]
+    words = [a + b + c for a in letters for b in letters for c in ("", "'S")]
+    texts = [*(" ".join(words[i : i + 97]).encode() for i in range(0, len(words), 97)), b"", b" ", b"don't I'LL l'h\xc3\xb4tel ''s 's's x're", b"<|endoftext|> a<|b", b"\xc3", b"\xc3 \x80 a\xff\xc3\x97", "e\u0301 \u0301e \u65e5\u672c \u0130 \u212a".encode()]
+    small, large = token_output.WordEncoder(path, 50, 30), token_output.WordEncoder(path, 100_000)
+    small.encode(pa.array(["\u65e5".encode()]))  # nothing but a word that goes to the tokenizer whole
+    want = [e.ids for e in t.encode_batch([x.decode("utf-8", "replace") for x in texts], add_special_tokens=False)]
+    parts = [ids for i in range(0, len(texts), 7) for ids in small.encode(pa.array(texts).slice(i, 7))]
+    for got in (parts, large.encode(pa.array(texts)), large.encode(pa.array(texts))):
+        assert [np.frombuffer(ids, small.dtype).tolist() for ids in got] == want
+    assert small.encode(pa.array([], pa.binary())) == []
+
+
+def test_known_words_cost_less_than_python_objects():
+    import time
+
+    import pyarrow as pa
+
+    def least(f):
+        took = []
+        for _ in range(5):
+            began = time.process_time()
+            f()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    words = [f"{i:x}".translate(str.maketrans("0123456789", "ghijklmnop")) for i in range(300_000)]
+    texts = pa.array([" ".join(words).encode()])
+    encoder, objects = token_output.WordEncoder(token_output.public_tokenizer(), 400_000), pa.array(words)
+    encoder.encode(texts)
+    assert least(lambda: encoder.encode(texts)) < least(lambda: set(objects.to_pylist()))
+
+
 def test_keyed_access(spark, tmp_path, monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
